@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from isobath.llm import chat, mixing
+from isobath.llm import chat, line_dedup, mixing
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }
