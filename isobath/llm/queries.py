@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from isobath.llm import chat, line_dedup, mixing
+from isobath.llm import chat, line_dedup, mixing, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op10_chat_formatting": chat.op10_chat_formatting,
