@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from isobath.llm import chat, line_dedup, mixing, substring_dedup
+from isobath.llm import chat, line_dedup, mixing, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
