@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from isobath.llm import chat, line_dedup, mixing, substring_dedup, suffix_dedup
+from isobath.llm import chat, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
