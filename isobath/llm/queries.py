@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from isobath.llm import chat, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup
+from isobath.llm import chat, decontamination, language_id, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +15,7 @@ QUERIES = {
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
+    "op9_decontamination": decontamination.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
