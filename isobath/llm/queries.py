@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from isobath.llm import chat, decontamination, language_id, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup
+from isobath.llm import chat, decontamination, language_id, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op6_warc": warc.op6_warc,
     "op3_language_id": language_id.op3_language_id,
     "op9_decontamination": decontamination.op9_decontamination,
     "op8_near_dedup": near_dedup.op8_near_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLES = {
+    "op6_warc": warc.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
