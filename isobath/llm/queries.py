@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from isobath.llm import chat, decontamination, language_id, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, warc
+from isobath.llm import audio, chat, decontamination, language_id, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op7_audio_features": audio.op7_audio_features,
     "op6_warc": warc.op6_warc,
     "op3_language_id": language_id.op3_language_id,
     "op9_decontamination": decontamination.op9_decontamination,
