@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from isobath.plans import closed_forms
 
-QUERIES = {}
-ORACLES = {}
+QUERIES = {**closed_forms.QUERIES}
+ORACLES = {**closed_forms.ORACLES}
