@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.plans import closed_forms
+from isobath.plans import closed_forms, relational
 
-QUERIES = {**closed_forms.QUERIES}
-ORACLES = {**closed_forms.ORACLES}
+QUERIES = {**closed_forms.QUERIES, **relational.QUERIES}
+ORACLES = {**closed_forms.ORACLES, **relational.ORACLES}
