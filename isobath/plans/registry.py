@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.plans import closed_forms, relational
+from isobath.plans import closed_forms, marches, relational
 
-QUERIES = {**closed_forms.QUERIES, **relational.QUERIES}
-ORACLES = {**closed_forms.ORACLES, **relational.ORACLES}
+QUERIES = {**closed_forms.QUERIES, **relational.QUERIES, **marches.QUERIES}
+ORACLES = {**closed_forms.ORACLES, **relational.ORACLES, **marches.ORACLES}
