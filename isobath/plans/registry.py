@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.plans import closed_forms, marches, relational
+from isobath.plans import closed_forms, estimates, marches, relational
 
-QUERIES = {**closed_forms.QUERIES, **relational.QUERIES, **marches.QUERIES}
-ORACLES = {**closed_forms.ORACLES, **relational.ORACLES, **marches.ORACLES}
+QUERIES = {**closed_forms.QUERIES, **relational.QUERIES, **marches.QUERIES, **estimates.QUERIES}
+ORACLES = {**closed_forms.ORACLES, **relational.ORACLES, **marches.ORACLES, **estimates.ORACLES}
