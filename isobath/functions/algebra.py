@@ -61,7 +61,8 @@ def _call(name: str, spark, *args):
         return spark(*[a if isinstance(a, Column) else F.lit(a) for a in args])
     if any(isinstance(a, Sql) for a in args):
         return Sql(f"{name}({', '.join(Sql.of(a) for a in args)})")
-    return getattr(math, {"ln": "log", "greatest": "fmax", "least": "fmin", "power": "pow", "abs": "fabs", "atan2": "atan2"}.get(name, name))(*args)
+    plain = {"ln": math.log, "greatest": max, "least": min, "power": math.pow, "abs": abs}
+    return plain[name](*args) if name in plain else getattr(math, name)(*args)
 
 
 def exp(x):

@@ -125,7 +125,7 @@ def _seabed(v, keep):
     c1 = keep("c1", ocean.mackenzie(v.t_c, v.s_ppt, v.depth_m))
     r = boundary.seabed_reflection(angle, c1, 1000.0, 1450.0 + 10.0 * v.s_ppt, 1800.0, 0.5, keep)
     clear = boundary.seabed_reflection(angle, c1, 1000.0, 1450.0 + 10.0 * v.s_ppt, 1800.0, 0.0, lambda n, x: keep(f"clear_{n}", x))
-    return {"re": r.re, "im": r.im, "loss_db": boundary.bottom_loss(r), "clear_power": clear.power2(), "critical": boundary.critical_angle(c1, 1450.0 + 10.0 * v.s_ppt), "impedance": boundary.impedance(1000.0, c1), "surface": c1 * 0.0 + boundary.surface_reflection()}
+    return {"re": r.re, "im": r.im, "loss_db": boundary.bottom_loss(r), "clear_power": clear.power2(), "critical": boundary.critical_angle(c1, 1450.0 + 10.0 * v.s_ppt), "impedance": boundary.impedance(1.025, c1), "surface": c1 * 0.0 + boundary.surface_reflection()}
 
 
 def _rough(v, keep):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.plans import closed_forms, estimates, marches, relational
+from isobath.plans import closed_forms, estimates, marches, relational, scenarios
 
-QUERIES = {**closed_forms.QUERIES, **relational.QUERIES, **marches.QUERIES, **estimates.QUERIES}
-ORACLES = {**closed_forms.ORACLES, **relational.ORACLES, **marches.ORACLES, **estimates.ORACLES}
+QUERIES = {**closed_forms.QUERIES, **relational.QUERIES, **marches.QUERIES, **estimates.QUERIES, **scenarios.QUERIES}
+ORACLES = {**closed_forms.ORACLES, **relational.ORACLES, **marches.ORACLES, **estimates.ORACLES, **scenarios.ORACLES}

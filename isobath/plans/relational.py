@@ -262,7 +262,7 @@ def grid_gradient(spark, sf_dir):
     return rounded(made.select("cell_id", "gi", "gj", "gk"), 6, "gi", "gj", "gk")
 
 
-@query("cross_gradient", f"SELECT cell_id, round(rho_j * kappa_k - rho_k * kappa_j, 9) AS cross_0, round(rho_k * kappa_i - rho_i * kappa_k, 9) AS cross_1, round(rho_i * kappa_j - rho_j * kappa_i, 9) AS cross_2 FROM (SELECT cell_id, {_grads} FROM {view_sql('cell')} c) q")
+@query("cross_gradient", f"SELECT cell_id, round(rho_j * kappa_k - rho_k * kappa_j, 9) + 0e0 AS cross_0, round(rho_k * kappa_i - rho_i * kappa_k, 9) + 0e0 AS cross_1, round(rho_i * kappa_j - rho_j * kappa_i, 9) + 0e0 AS cross_2 FROM (SELECT cell_id, {_grads} FROM {view_sql('cell')} c) q")
 def cross_gradient(spark, sf_dir):
     names = ["cross_0", "cross_1", "cross_2"]
     return rounded(grids.cross_gradient(view(spark, sf_dir, "cell"), "rho", "kappa", list(_AX), 100.0).select("cell_id", *names), 9, *names)
