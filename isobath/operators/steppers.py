@@ -25,9 +25,20 @@ def at(u: Column, i: Column, n: Column, bc: str) -> Column:
     raise ValueError("bc must be periodic, neumann or dirichlet")
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """body(values as a struct), each value computed once: inside a lambda, repeated parts would be expanded."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body), 1)
+
+
 def march(fields: DataFrame, u: str, steps: int, stencil: Stencil) -> DataFrame:
-    """fields with u after so many steps."""
-    step = lambda acc, _: F.transform(acc, lambda _x, i: stencil(acc, i, F.size(acc)))
+    """fields with u after so many steps; a stencil may have ``prepare``, which each cell passes once a step."""
+    prepare = getattr(stencil, "prepare", None)
+
+    def step(acc, _):
+        if prepare is None:
+            return F.transform(acc, lambda _x, i: stencil(acc, i, F.size(acc)))
+        return let(lambda s: F.transform(s["ready"], lambda _x, i: stencil(s["ready"], i, F.size(s["ready"]))), ready=F.transform(acc, prepare))
+
     return fields.withColumn(u, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col(u), step))
 
 
@@ -83,21 +94,26 @@ def conservation_law(flux: Callable[[Column], Column], speed: Callable[[Column],
 def shallow_water(dx: float, dt: float, gravity: float = 9.81) -> Stencil:
     """Rusanov's scheme for arrays of struct<h, q>, periodic."""
 
-    def flux(s):
+    def known(s):
+        """h, q, velocity and signal speed of a cell."""
         h = F.greatest(s["h"], F.lit(1e-12))
         v = s["q"] / h
-        return s["q"], s["q"] * v + 0.5 * gravity * h * h, F.abs(v) + F.sqrt(gravity * h)
+        return F.struct(s["h"].alias("h"), s["q"].alias("q"), (s["q"] * v + 0.5 * gravity * h * h).alias("p"), (F.abs(v) + F.sqrt(gravity * h)).alias("c"))
 
     def face(a, b):
-        (m0, p0, c0), (m1, p1, c1) = flux(a), flux(b)
-        c = F.greatest(c0, c1)
-        return 0.5 * (m0 + m1) - 0.5 * c * (b["h"] - a["h"]), 0.5 * (p0 + p1) - 0.5 * c * (b["q"] - a["q"])
+        c = F.greatest(a["c"], b["c"])
+        return 0.5 * (a["q"] + b["q"]) - 0.5 * c * (b["h"] - a["h"]), 0.5 * (a["p"] + b["p"]) - 0.5 * c * (b["q"] - a["q"])
 
     def step(u, i, n):
-        left, here, right = (F.get(u, F.pmod(i + k, n).cast("int")) for k in (-1, 0, 1))
-        (m1, p1), (m0, p0) = face(here, right), face(left, here)
-        return F.struct((here["h"] - dt / dx * (m1 - m0)).alias("h"), (here["q"] - dt / dx * (p1 - p0)).alias("q"))
+        cells = {name: F.get(u, F.pmod(i + k, n).cast("int")) for name, k in (("left", -1), ("here", 0), ("right", 1))}
 
+        def advance(s):
+            (m1, p1), (m0, p0) = face(s["here"], s["right"]), face(s["left"], s["here"])
+            return F.struct((s["here"]["h"] - dt / dx * (m1 - m0)).alias("h"), (s["here"]["q"] - dt / dx * (p1 - p0)).alias("q"))
+
+        return let(advance, **cells)
+
+    step.prepare = known
     return step
 
 
@@ -161,18 +177,24 @@ def layered_impedance(layers: DataFrame, frequencies: DataFrame, mu: float = 4e-
     part = lambda s: F.sqrt(w / (2.0 * s))
 
     def over(below, layer):
+        def reflect(s):
+            # r = (a(1+i) - Z) / (a(1+i) + Z)
+            nr, ni, dr, di = s["a"] - s["re"], s["a"] - s["im"], s["a"] + s["re"], s["a"] + s["im"]
+            size = dr * dr + di * di
+            return let(turn, a=s["a"], x=s["x"], rr=(nr * dr + ni * di) / size, ri=(ni * dr - nr * di) / size)
+
+        def turn(s):
+            # turned and damped by exp(-2 k dz)
+            c, d = F.exp(-s["x"]) * F.cos(s["x"]), F.exp(-s["x"]) * F.sin(s["x"])
+            return let(close, a=s["a"], er=s["rr"] * c + s["ri"] * d, ei=s["ri"] * c - s["rr"] * d)
+
+        def close(s):
+            ur, ui, vr, vi = 1.0 - s["er"], -s["ei"], 1.0 + s["er"], s["ei"]
+            size = vr * vr + vi * vi
+            return let(lambda t: z(t["a"] * (t["qr"] - t["qi"]), t["a"] * (t["qr"] + t["qi"])), a=s["a"], qr=(ur * vr + ui * vi) / size, qi=(ui * vr - ur * vi) / size)
+
         a = part(layer["sigma"])
-        x = 2.0 * a * layer["sigma"] * layer["dz"]
-        decay = F.exp(-x)
-        # r = (a(1+i) - Z) / (a(1+i) + Z), turned and damped by exp(-2 k dz)
-        nr, ni, dr, di = a - below["re"], a - below["im"], a + below["re"], a + below["im"]
-        size = dr * dr + di * di
-        rr, ri = (nr * dr + ni * di) / size, (ni * dr - nr * di) / size
-        er, ei = decay * (rr * F.cos(x) + ri * F.sin(x)), decay * (ri * F.cos(x) - rr * F.sin(x))
-        ur, ui, vr, vi = 1.0 - er, -ei, 1.0 + er, ei
-        size2 = vr * vr + vi * vi
-        qr, qi = (ur * vr + ui * vi) / size2, (ui * vr - ur * vi) / size2
-        return z(a * (qr - qi), a * (qr + qi))
+        return let(reflect, a=a, x=2.0 * a * layer["sigma"] * layer["dz"], re=below["re"], im=below["im"])
 
     bottom = F.element_at("stack", 1)["sigma"]
     start = z(part(bottom), part(bottom))

@@ -87,16 +87,18 @@ QUERIES["kalman_smooth"] = _smooth
 
 
 def _ode(spark, sf_dir):
-    """Decay from each part's size at a rate of its parity: the closed form after rounding."""
+    """Decay from each part's size at a rate of its parity: the closed form after rounding; a batch is one vector."""
     import numpy as np
+    import pandas as pd
 
     params = view(spark, sf_dir, "rock").select("obs_id", "size", (0.1 + 0.4 * F.col("phi")).alias("rate"))
 
-    def kernel(p):
-        y = dynamics.adaptive(lambda t, v: -p["rate"] * v, [p["size"]], [1.0, 2.0, 4.0])
-        return [(p["obs_id"], t, float(np.round(v[0], 4))) for t, v in zip((1.0, 2.0, 4.0), y, strict=True)]
+    def kernel(pdf):
+        rate, times = pdf["rate"].to_numpy(), (1.0, 2.0, 4.0)
+        y = dynamics.adaptive(lambda t, v: -rate * v, pdf["size"].to_numpy(), times)
+        return pd.DataFrame({"obs_id": np.tile(pdf["obs_id"].to_numpy(), 3), "t": np.repeat(times, len(pdf)), "y": np.round(y.ravel(), 4)})
 
-    return dynamics.per_scenario(params, kernel, "obs_id long, t double, y double")
+    return dynamics.per_batch(params, kernel, "obs_id long, t double, y double")
 
 
 QUERIES["ode_decay"] = _ode

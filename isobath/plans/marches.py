@@ -36,7 +36,7 @@ def _march(name: str, stencil, step_sql: str, steps: int = STEPS, digits: int =
     ORACLES[name] = f"SELECT trace_id, i, round(u, {digits}) AS u FROM {sql} z"
 
 
-_march("heat_steps", steppers.diffusion(0.25, "neumann"), "u + 25e-2 * (CASE WHEN i = 0 THEN u ELSE l END - 2e0 * u + CASE WHEN i = n - 1 THEN u ELSE r END)")
+_march("heat_steps", steppers.diffusion(0.2371828, "neumann"), "u + 2371828e-7 * (CASE WHEN i = 0 THEN u ELSE l END - 2e0 * u + CASE WHEN i = n - 1 THEN u ELSE r END)")
 _march("advection_steps", steppers.advection(0.3141593), "u - 3141593e-7 * (u - l)")
 _march("advection_diffusion_steps", steppers.advection_diffusion(0.3141593, 0.1732051), "u - 3141593e-7 * (u - l) + 1732051e-7 * (l - 2e0 * u + r)")
 _march("burgers_steps", steppers.burgers(0.1, 1.0, 0.2), "u + 2e-1 * (1e-1 * (l - 2e0 * u + r) - (r * r - l * l) / 4e0)")
