@@ -7,10 +7,12 @@ posterior probability that its similarity reaches the threshold falls under ``mi
 decided on their full sets of shingles, read from the texts.
 
 Only components are returned, so a pair inside a known component needs no look. Each round links every
-member of a bucket to one hub of that bucket that changes from round to round, joins components, and
-drops buckets whose members are all connected. Large groups of copies are settled in a linear number of
-pairs; what is left after ``hub_rounds`` rounds is compared in full across components, bucket by bucket
-of the band, so no link between candidates is lost and no bucket is capped. At the threshold the bands
+member of a bucket to one hub of that bucket, joins components, and drops buckets whose members are all
+connected. The first hub is the member that meets the most others in all its buckets, which in a group
+of edited copies is their original; further hubs, if asked for, are drawn. Large groups are settled in a linear number
+of pairs. The members of buckets that still hold several components are joined exactly, by the rarest
+shingles of their sets (prefix and position filters), so no link between candidates is lost and no
+bucket is capped. At the threshold the bands
 miss a pair with probability (1 - t**rows)**bands, 3e-6 with 32 bands of 5 rows at 0.8.
 
 Nulls and empty texts: n_shingles 0, linked with nothing. A row without doc_id is linked with nothing
@@ -25,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobath.llm import spans as S
@@ -36,7 +38,7 @@ THRESHOLD = (80, 100)
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _HASHES = np.random.default_rng(808).integers(0, 2**63, (2, 1024), dtype=np.uint64) * S.U(2) + S.U(1)
@@ -169,6 +171,39 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, part: int, whole: in
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _cross_pairs(left: DataFrame, texts: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+    """Pairs (a, b) of different components c among the members left, that can reach the threshold.
+
+    Shingles are ordered by how many members hold them, those that one component holds alone first. Sets of
+    n and m with an overlap of t or more share a shingle that is among the first n - t + 1 of one and the
+    first m - t + 1 of the other. Edits bring rare shingles, which fill these places, so edited copies do not
+    meet at what all copies share. For each shingle only the members outside its most frequent component
+    look for partners, so a large component that is connected already does not meet itself.
+    """
+
+    def emit(batches):
+        for batch in batches:
+            for a, _, raw, offsets in _slices(batch.column("text"), 64 << 10):
+                names, of = shingle_names(raw, offsets, width)
+                row = pa.array(np.repeat(np.arange(len(of) - 1) + a, np.diff(of)))
+                yield pa.record_batch([batch.column("rep").take(row), batch.column("c").take(row), pa.array(names.view(np.int64))], names=["rep", "c", "name"])
+
+    held = texts.withColumnRenamed("doc_id", "rep").join(left.select("rep", "c").distinct(), "rep")
+    rows = materialise(held.select("rep", "c", "text").mapInArrow(emit, "rep long, c long, name long"), "shingles")
+    across = rows.groupBy("name").agg(F.count("*").alias("holders"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("name", "holders")
+    order = Window.partitionBy("rep").orderBy(F.col("holders").asc_nulls_first(), "name")
+    placed = rows.join(across, "name", "left").withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("rep")))
+    # the least overlap with any partner: t >= part * n / whole, as the partner is at least that large
+    prefix = materialise(placed.filter(F.col("holders").isNotNull() & (whole * (F.col("n") - F.col("at") + 1) >= part * F.col("n"))).select("name", "rep", "c", "at", "n"), "prefix")
+    each = prefix.groupBy("name", "c").agg(F.count("*").alias("k")).groupBy("name").agg(F.max_by("c", "k").alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").select("name", "most")
+    here = prefix.join(each, "name")
+    other = here.select("name", *[F.col(x).alias(f"{x}2") for x in ("rep", "c", "at", "n")])
+    # an overlap of t needs (part + whole) t >= part (n + m)
+    able = [(part + whole) * (F.col(x) - F.col(y) + 1) >= part * (F.col("n") + F.col("n2")) for x, y in (("n", "at"), ("n2", "at2"))]
+    found = here.filter(F.col("c") != F.col("most")).drop("most").join(other, (here["name"] == other["name"]) & (F.col("c") != F.col("c2")) & able[0] & able[1])
+    return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, threshold=THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     n = bands * rows
@@ -192,18 +227,20 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold=THRESHOLD, bands:
     texts = materialise(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     sig = lambda x: reps.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}"))
 
+    sizes = banded.groupBy("key").agg(F.count("*").alias("meets")).filter("meets > 1")
+    degrees = banded.join(sizes, "key").groupBy("rep").agg(F.sum("meets").alias("degree"))
+    members = materialise(members.join(degrees, "rep"), "members")
+
     links, component, tried = None, None, None
     for step in range(hub_rounds + 1):
         now = members.withColumn("c", F.col("rep")) if component is None else members.join(component, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        hub = F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(step))).alias("hub")
-        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).filter("lo < hi")
+        rank = F.struct(-F.col("degree"), "rep") if step == 0 else F.struct(F.xxhash64("rep", F.lit(step)), "rep")
+        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("rep", "c"), rank).alias("hub")).filter("lo < hi")
         if step < hub_rounds:
             met = now.join(mixed.select("key", "hub"), "key").filter(F.col("c") != F.col("hub.c"))
             pairs = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
         else:
-            left = now.join(mixed.select("key"), "key", "left_semi")
-            other = left.select("key", F.col("rep").alias("rep2"), F.col("c").alias("c2"))
-            pairs = left.join(other, "key").filter((F.col("c") != F.col("c2")) & (F.col("rep") < F.col("rep2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            pairs = _cross_pairs(now.join(mixed.select("key"), "key", "left_semi"), texts, width, *threshold)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
