@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 
-from isobath.operators import dynamics, series, solvers, waves
+from isobath.operators import dynamics, induction, inversion, series, solvers, waves
 from isobath.plans.relational import rounded
 from isobath.plans.views import view, view_sql
 from isobath.sources import environment
@@ -177,7 +177,31 @@ def _elastic(p):
     return np.isfinite(out[0]).all() and np.abs(out[0]).max() > 0
 
 
+def _mt3(p):
+    rho, phase = induction.magnetotelluric(np.full((3, 3, 14), 0.05 * p), 100.0, 45.0 / math.sqrt(p))
+    return abs(rho * 0.05 * p - 1) < 0.08 and abs(phase - 45) < 3
+
+
+def _fit(p):
+    a = dynamics.diffusion(p, 16, scheme="exact").transition(0.02)
+    y = [np.cos(math.pi * np.linspace(0, 1, 16))]
+    for _ in range(10):
+        y.append(a @ y[-1])
+    return abs(inversion.fit_diffusivity(np.array(y), dt=0.02)[0] / p - 1) < 1e-3
+
+
+def _sensors(p):
+    op = dynamics.diffusion(0.15 * p, 12, length=11.0)
+    truth = [np.sin(np.linspace(0, math.pi, 12))]
+    for _ in range(7):
+        truth.append(op.transition(0.5) @ truth[-1])
+    truth = np.array(truth)
+    mean, _ = inversion.field_from_sensors(op, 0.5, 8, [(c, t, truth[t, c], 0.02) for t in (0, 4) for c in (0, 2, 5, 8, 11)])
+    return np.corrcoef(mean.ravel(), truth.ravel())[0, 1] > 0.9
+
+
 for _name, _kernel in {
+    "mt_3d": _mt3, "diffusivity_fit": _fit, "sensor_field": _sensors,
     "poisson_2d": _poisson, "elasticity": _elasticity, "coupled_pde": _coupled, "screened_electrostatics": _screened, "ion_equilibrium": _ions, "dc_resistivity": _resistivity, "induced_polarisation": _polarisation, "mt_2d": _mt,
     "normal_modes": _modes, "wavenumber_integration": _wavenumber, "encounter_rate": _rate, "beam_plate_static": _plates, "guided_modes": _guided, "wave_2d": _wave, "heat_2d": _heat2, "spectral_flow": _flow, "vorticity_flow": _vortex,
     "schrodinger": _quantum, "riemann_star": _gas, "maxwell": _cavity, "eikonal": _arrivals, "parabolic_march": _parabolic, "two_phase": _drops, "elastic_waves": _elastic,
