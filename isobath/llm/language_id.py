@@ -27,8 +27,8 @@ from isobath.llm import spans as S
 from isobath.llm.shared import table
 
 BITS = 12
-PER_LANG = 600
-SAMPLE = 12_000
+PER_LANG = 300
+SAMPLE = 6_000
 EPOCHS = 12
 LAMBDA = 1e-4
 # Language families by ISO 639 code; a code that is not listed is a family of its own.
@@ -76,13 +76,14 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.ndarr
 
 
 def _unit(counts: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts.astype(np.float64))
-    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    x = np.sqrt(counts, dtype=np.float32)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    return x
 
 
 def _svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and bias of a linear SVM; each class weighs the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y)
     w, mean, step = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
     order = np.random.default_rng(11)
@@ -111,7 +112,7 @@ class Model:
         x = _unit(counts)
         log, self.machines = [], {}
         for family, own in self.families.items():
-            share = sum(counts[at == lang].sum(axis=0) / max(counts[at == lang].sum(), 1) for lang in own) / len(own)
+            share = sum(counts[at == lang].sum(axis=0, dtype=np.float64) / max(counts[at == lang].sum(dtype=np.float64), 1) for lang in own) / len(own)
             smooth = share * 0.999 + 0.001 / counts.shape[1]
             log.append(np.log(smooth))
             for i, a in enumerate(own):
@@ -167,7 +168,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
     def run(batches):
         for batch in batches:
             for a, b, raw, offsets in N._slices(batch.column(0)):
-                rows = features(raw, offsets).astype(np.uint32)
+                rows = np.minimum(features(raw, offsets), 65_535).astype(np.uint16)
                 yield pa.record_batch([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["f", "lang", "u"])
 
     rows = few.select("text", "lang", "u").mapInArrow(run, "f binary, lang string, u double").toArrow().sort_by([("lang", "ascending"), ("u", "ascending"), ("f", "ascending")])
@@ -177,8 +178,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
         n[lang] = n.get(lang, 0) + 1
         if n[lang] <= most:
             at.append(i)
-    packed = rows["f"].take(pa.array(at)).to_pylist()
-    return Model(np.stack([np.frombuffer(x, np.uint32) for x in packed]).astype(np.float64), [langs[i] for i in at])
+    counts = np.empty((len(at), 1 << BITS), np.float32)
+    for i, k in enumerate(at):
+        counts[i] = np.frombuffer(rows["f"][k].as_buffer(), np.uint16)
+    return Model(counts, [langs[i] for i in at])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
