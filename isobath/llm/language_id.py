@@ -6,6 +6,10 @@ counts; then one-versus-one linear support vector machines, trained by sub-gradi
 loss, vote on the language within it. The score is the family's posterior times the winner's mean
 logistic margin.
 
+The score weighs the learned languages against each other and says nothing of a text in none of them. For
+that, calibrate() finds the usual mean log-probability of a trigram under the language told, and how far
+held-out texts of all lengths fall below it; identify() marks as foreign what falls ``REACH`` times as far.
+
 Learned from a bounded sample: at most ``PER_LANG`` rows a language (and ``SAMPLE`` in all), chosen by a
 hash of doc_id among the labelled rows for training; everything is predicted. doc_id, lang and source are
 never inputs of a prediction. Learning is deterministic.
@@ -31,6 +35,10 @@ PER_LANG = 300
 SAMPLE = 6_000
 EPOCHS = 12
 LAMBDA = 1e-4
+# Of the held-out texts of a language one in twenty falls further below the median than the usual reach; a language with fewer of them than LEAST_HELD is not judged.
+USUAL, REACH, LEAST_HELD = 0.95, 10.0, 20
+# Trigrams of a text whose chance spread equals the spread between long texts.
+SHORT = 100.0
 # Language families by ISO 639 code; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -110,11 +118,12 @@ class Model:
             self.families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
         at = np.array(langs)
         x = _unit(counts)
-        log, self.machines = [], {}
+        log, self.machines, self.trigrams = [], {}, {}
         for family, own in self.families.items():
-            share = sum(counts[at == lang].sum(axis=0, dtype=np.float64) / max(counts[at == lang].sum(dtype=np.float64), 1) for lang in own) / len(own)
-            smooth = share * 0.999 + 0.001 / counts.shape[1]
-            log.append(np.log(smooth))
+            shares = [counts[at == lang].sum(axis=0, dtype=np.float64) / max(counts[at == lang].sum(dtype=np.float64), 1) for lang in own]
+            smooth = lambda share: np.log(share * 0.999 + 0.001 / counts.shape[1])
+            log.append(smooth(sum(shares) / len(own)))
+            self.trigrams |= {lang: smooth(share) for lang, share in zip(own, shares, strict=True)}
             for i, a in enumerate(own):
                 for b in own[i + 1 :]:
                     of = (at == a) | (at == b)
@@ -149,6 +158,14 @@ class Model:
             score[rows] = post[rows, f] * mean
         return langs, np.clip(score, 0.0, 1.0)
 
+    def likelihood(self, counts: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log-probability of a trigram under the language given, and the factor by which a short text strays further."""
+        total = np.maximum(counts.sum(axis=1), 1)
+        mean, at = np.zeros(len(counts)), np.array(langs)
+        for lang in set(langs):
+            mean[at == lang] = counts[at == lang] @ self.trigrams[lang]
+        return mean / total, np.sqrt(1 + SHORT / total)
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -184,11 +201,46 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
     return Model(counts, [langs[i] for i in at])
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sample: int = SAMPLE) -> dict[str, tuple[float, float]]:
+    """Per language the median of the likelihood and the usual reach below it, over a bounded sample of held-out rows told as labelled."""
+    if model is None:
+        return {}
+    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    counted = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counted:
+        return {}
+    most = max(1, min(per_lang, sample // len(counted)))
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[F.lit(x) for lang, n in counted.items() for x in (lang, min(1.0, most / n))])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for a, b, raw, offsets in N._slices(batch.column(0)):
+                counts = features(raw, offsets)
+                langs, _ = sent.value.predict(counts)
+                mean, wide = sent.value.likelihood(counts, langs)
+                told = pa.array([x == y for x, y in zip(langs, batch.column(1).slice(a, b - a).to_pylist(), strict=True)], pa.bool_())
+                yield pa.record_batch([pa.array(langs, pa.string()), pa.array(mean), pa.array(wide), told], names=["lang", "mean", "wide", "told"])
+
+    seen: dict[str, list[tuple[float, float]]] = {}
+    for r in usable.filter(spread < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, mean double, wide double, told boolean").filter("told").collect():
+        seen.setdefault(r.lang, []).append((r["mean"], r.wide))
+    usual = {}
+    for lang, rows in seen.items():
+        if len(rows) >= LEAST_HELD:
+            mean, wide = np.array(rows).T
+            centre = float(np.median(mean))
+            usual[lang] = centre, float(np.quantile((centre - mean) / wide, USUAL))
+    return usual
+
+
+def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """docs with lang_pred and score, and foreign if what calibrate() found is given."""
+    added = ["lang_pred", "score"] + ["foreign"] * (usual is not None)
+    kept = [c for c in docs.columns if c not in added]
     if model is None:
-        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *[F.lit(False).alias(c) for c in added[2:]])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
 
@@ -196,16 +248,21 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.num_columns - 2)
             lettered = batch.column(batch.num_columns - 1).to_pylist()
-            langs, scores = [], []
+            langs, scores, strange = [], [], []
             for a, b, raw, offsets in N._slices(texts):
-                found, score = sent.value.predict(features(raw, offsets))
+                counts = features(raw, offsets)
+                found, score = sent.value.predict(counts)
+                if usual is not None:
+                    mean, wide = sent.value.likelihood(counts, found)
+                    floor = [usual[x][0] - REACH * usual[x][1] * w if x in usual else -np.inf for x, w in zip(found, wide, strict=True)]
+                    strange += [lettered[a + i] and bool(mean[i] < floor[i]) for i in range(b - a)]
                 for i in range(b - a):
                     langs.append(found[i] if lettered[a + i] else "und")
                     scores.append(float(score[i]) if lettered[a + i] else 0.0)
-            yield pa.record_batch([*batch.columns[:-2], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[:-2], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(strange, pa.bool_()) for _ in added[2:]]], names=[*kept, *added])
 
     given = docs.select(*kept, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    return given.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return given.mapInArrow(run, f"{fields}, lang_pred string, score double" + ", foreign boolean" * (usual is not None))
 
 
 def op3_language_id(spark, sf_dir):

@@ -63,3 +63,17 @@ def test_stages_against_plain_versions(spark, tmp_path):
     want_mix = sorted(str((None if pd.isna(i) else int(i), t, k)) for i, t, n in copies for k in range(n))
     assert sorted(str((r[0], r[1], r[5])) for r in mixed) == want_mix
     assert corpus_pipeline.run(spark, path).count() == len(mixed)
+
+
+def test_language_stage_rejects_foreign_and_gibberish(spark):
+    rng = random.Random(3)
+    parts = {"en": "the of and ing tion er an wh ou th re", "de": "der die und sch ung ein keit ich be ge", "fr": "le la des que eau ment é è aux tre ou", "es": "el los ción por que mente ado rr ñ as"}
+    word = lambda lang: "".join(rng.choice(parts[lang].split()) for _ in range(rng.randrange(1, 4)))
+    langs = [rng.choice(list(parts)) for _ in range(900)]
+    clean = [(i, " ".join(word(lang) for _ in range(int(2 ** rng.uniform(0, 10)))), lang, "a", None) for i, lang in enumerate(langs)]
+    odd = ["Pan Tadeusz wrócił do domu i zobaczył, że wszystko było tak samo jak dawniej, kiedy był jeszcze dzieckiem.", "Это русский текст, который не похож ни на один из выученных языков.", "Tämä on suomenkielinen teksti, jota malli ei ole koskaan nähnyt eikä tunne."]
+    odd += [" ".join("".join(rng.choice("qxzjkvwpbfy") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (12, 40, 900)]
+    rows = clean + [(9000 + k, text, "en", "a", None) for k, text in enumerate(odd)]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert not [i for i in kept if i >= 9000]
+    assert len(kept) >= 0.995 * len(clean)
