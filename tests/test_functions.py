@@ -32,6 +32,15 @@ def test_air():
     assert abs(atmosphere.rain(0.01217, 1.2571, 50.0) - 1.66) < 0.02
 
 
+def test_gaseous_lines_against_the_table():
+    # Rec. ITU-R P.676 Annex 1: f0 and strength of lines that a list of the strongest ones leaves out
+    assert len(atmosphere.OXYGEN_LINES) == 44 and len(atmosphere.VAPOUR_LINES) == 34
+    oxygen, vapour = ({line[0]: line[1:] for line in lines} for lines in (atmosphere.OXYGEN_LINES, atmosphere.VAPOUR_LINES))
+    assert oxygen[53.066934] == (64.29, 5.201, 9.06, 1.349, 6.206) and oxygen[67.369601] == (18.56, 6.818, 8.11, -1.956, -6.475)
+    assert oxygen[54.130025][0] == 227.3 and oxygen[834.145546] == (183.1, 0.145, 14.7, 0.0, 0.0)
+    assert vapour[67.80396] == (0.0011, 8.732, 28.58, 0.69, 4.93, 0.82) and vapour[336.227764] == (0.001, 9.825, 26.93, 0.69, 4.74, 0.61)
+
+
 def test_rock():
     assert abs(rock.saturated_modulus(15.0, 36.6, 2.2, 0.2) - 18.42912123) < 1e-6
     assert abs(rock.saturated_modulus(15.0, 36.6, 0.133, 0.2) - 15.22998478) < 1e-6
