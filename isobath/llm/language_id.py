@@ -35,8 +35,8 @@ PER_LANG = 300
 SAMPLE = 6_000
 EPOCHS = 12
 LAMBDA = 1e-4
-# Of the held-out texts of a language one in twenty falls further below the median than the usual reach; a language with fewer of them than LEAST_HELD is not judged.
-USUAL, REACH, LEAST_HELD = 0.95, 10.0, 20
+# One held-out text in four falls further below its language's median than the usual reach: texts with foreign passages do not widen it. A language with fewer such texts than LEAST_HELD is not judged.
+USUAL, REACH, LEAST_HELD = 0.75, 30.0, 20
 # Trigrams of a text whose chance spread equals the spread between long texts.
 SHORT = 100.0
 # Language families by ISO 639 code; a code that is not listed is a family of its own.
@@ -202,7 +202,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
 
 
 def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sample: int = SAMPLE) -> dict[str, tuple[float, float]]:
-    """Per language the median of the likelihood and the usual reach below it, over a bounded sample of held-out rows told as labelled."""
+    """Per language the median of the likelihood, and the usual reach below it, over a bounded sample of held-out rows told as labelled."""
     if model is None:
         return {}
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
@@ -226,12 +226,11 @@ def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sa
     seen: dict[str, list[tuple[float, float]]] = {}
     for r in usable.filter(spread < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, mean double, wide double, told boolean").filter("told").collect():
         seen.setdefault(r.lang, []).append((r["mean"], r.wide))
-    usual = {}
-    for lang, rows in seen.items():
-        if len(rows) >= LEAST_HELD:
-            mean, wide = np.array(rows).T
-            centre = float(np.median(mean))
-            usual[lang] = centre, float(np.quantile((centre - mean) / wide, USUAL))
+    spreads = {lang: np.array(rows).T for lang, rows in seen.items() if len(rows) >= LEAST_HELD}
+    centres = {lang: float(np.median(mean)) for lang, (mean, _) in spreads.items()}
+    fallen = [(centres[lang] - mean) / wide for lang, (mean, wide) in spreads.items()]
+    reach = float(np.quantile(np.concatenate(fallen), USUAL)) if fallen else 0.0
+    usual = {lang: (centre, reach) for lang, centre in centres.items()}
     return usual
 
 
