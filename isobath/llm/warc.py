@@ -198,8 +198,10 @@ def payloads(found: DataFrame) -> DataFrame:
                             payload, error = None, "wrong digest"
                     except ValueError as broken:
                         error = f"broken framing: {broken}"
-                n = len(payload) if payload is not None else r["stated"]
-                digest = hashlib.sha1(payload).hexdigest() if payload is not None else stated or None
+                # stated values stand in for a revisit's only: what is not read back is not reported
+                trusted = r["kind"] == "revisit" and error is None
+                n = len(payload) if payload is not None else r["stated"] if trusted else None
+                digest = hashlib.sha1(payload).hexdigest() if payload is not None else (stated or None) if trusted else None
                 rows.append((r["id"], r["uri"], r["kind"], r["refers"], n, digest, payload, error))
                 if len(rows) == 256:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -146,3 +146,12 @@ def test_language_of_awkward_rows(spark):
     assert language_id.train(unlabelled) is None
     assert {r.lang_pred for r in language_id.identify(unlabelled, None).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), None).collect() == []
+
+
+def test_broken_records_report_no_stated_values(spark, tmp_path):
+    parts = warc.records(5, "u", b"y" * 30_000, None, 4096)
+    for name, some in (("missing", parts[:-1]), ("wrong", [parts[0], parts[1].replace(b"yy", b"yz", 1), *parts[2:]])):
+        with gzip.open(tmp_path / f"{name}.gz", "wb") as f:
+            f.write(b"".join(p + warc.SEP for p in some))
+        (r,) = warc.read_archives(spark, str(tmp_path / f"{name}.gz")).collect()
+        assert r.error and r.payload is None and r.payload_bytes is None and r.payload_digest is None
