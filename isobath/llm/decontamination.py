@@ -6,15 +6,18 @@ Items are partitioned by the size of their sets, in powers of two. An item's ske
 shingle hashes; k comes from the partition's upper size so that an item that is contained must show one
 of its k in the document: the document may lack at most k - 1 shingles. Probing every shingle of a whole
 document against the sketches thus misses nothing, however long the document, where signatures of whole
-documents would drown a short item. Documents that are too small for a partition skip it. Candidates are
-decided on their exact shingles.
+documents would drown a short item. Documents that are too small for an item skip it. Candidates are
+decided on their exact shingles, word by word.
 
-Items are taken in blocks of at most ``block`` rows, each of which is broadcast: the bound on what is
-broadcast is a parameter, the benchmark's size only sets the number of passes.
+The corpus is scanned once. What is broadcast is a bit table over the sketches' hashes, of 16 bits a hash and
+at most ``most_bits``, however large the benchmark is; a fuller table only lets more rows through to the join of
+hashes and sketches, which decides. Documents that show a hash are written once with their hashes; their texts
+meet the texts of their candidates, as a list that no item can enter twice.
 
 Nulls and empty texts contain nothing and are contained in nothing. Items with equal id but different
 texts are each searched; a match counts once per (doc_id, item_id), with the larger share. Repeated rows
-of documents are each searched and reported once per doc_id. Extra columns play no part.
+of documents are each searched and reported once per doc_id. Extra columns play no part in the search and pass
+through ``decontaminate`` untouched, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isobath.llm import near_dedup as N
 from isobath.llm import spans as S
-from isobath.llm.shared import WORD, table
+from isobath.llm.shared import WORD, materialise, shielded, table
 
 WIDTH = 5
 SHARE = (80, 100)
-BLOCK = 20_000
+BLOCK_BITS, MOST_BITS = 1 << 12, 1 << 29
 _WORD = re.compile(WORD.encode())
 _LOWER = bytes(N.LOWER)
 
@@ -52,82 +56,98 @@ def sketch_length(n: int, share=SHARE) -> int:
     return min(n, max(m - least_shared(m, share) + 1 for m in range((top + 1) // 2, top + 1)))
 
 
-class _Sketches:
-    """Sketches of a block of items: sorted hashes with their items, and a bit table in front."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int, share):
-        raw, offsets = N._flat(pa.array([t for _, t in items], pa.string()))
-        names, of = N.shingle_names(raw, offsets, width)
-        self.ids = [i for i, _ in items]
-        self.sets = [exact_shingles(t, width) for _, t in items]
-        self.least = np.array([least_shared(len(s), share) for s in self.sets], np.int64)
-        keys, owners = [], []
-        for i in range(len(items)):
-            own = names[of[i] : of[i + 1]]
-            if len(own):
-                own = own[np.argsort(S.mix(own * S.BASES[1]))][: sketch_length(len(own), share)]
-                keys.append(own)
-                owners.append(np.full(len(own), i))
-        keys, owners = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (owners, np.int64)))
-        order = np.lexsort((owners, keys))
-        self.keys, self.owners = keys[order], owners[order]
-        self.smallest = int(self.least[self.owners].min()) if len(keys) else 0
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys & S.U((1 << 20) - 1)).astype(np.int64)] = True
-
-    def candidates(self, names: np.ndarray, of: np.ndarray):
-        """(document, item) pairs of which the document shows a sketch hash and is large enough."""
-        sizes = np.diff(of)
-        hit = np.flatnonzero(self.bits[(names & S.U((1 << 20) - 1)).astype(np.int64)])
-        doc = np.searchsorted(of, hit, "right") - 1
-        big = sizes[doc] >= self.smallest
-        hit, doc = hit[big], doc[big]
-        lo, hi = (np.searchsorted(self.keys, names[hit], side) for side in ("left", "right"))
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs = np.unique(np.stack([np.repeat(doc, n), self.owners[at]], axis=1), axis=0)
-        return pairs[sizes[pairs[:, 0]] >= self.least[pairs[:, 1]]]
-
-
-def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share=SHARE, block: int = BLOCK) -> DataFrame:
+_ITEM = "item long, n_item long, least long, needed long, key long"
+
+
+def _sketches(batches, width: int, share):
+    """The sketch of each item, a row a hash, with how many of them a document that contains the item must show."""
+    for batch in batches:
+        for a, _, raw, offsets in N._slices(batch.column("text")):
+            names, of = N.shingle_names(raw, offsets, width)
+            out = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for i in range(len(of) - 1):
+                own = names[of[i] : of[i + 1]]
+                if n := len(own):
+                    own = own[np.argsort(S.mix(own))][: sketch_length(n, share)]
+                    least = least_shared(n, share)
+                    for column, x in zip(out, (batch.column("item")[a + i].as_py(), n, least, len(own) - (n - least)), strict=False):
+                        column.append(np.full(len(own), x))
+                    out[4].append(own.view(np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["item", "n_item", "least", "needed", "key"])
+
+
+def _bit_table(keys: DataFrame, n: int, most_bits: int) -> tuple[int, bytes]:
+    """How many bits, and the table of the keys' low bits: built in blocks on the executors, at most most_bits in all."""
+    bits = max(BLOCK_BITS, min(most_bits, 1 << (16 * max(n, 1) - 1).bit_length()))
+    place = F.col("key").bitwiseAND(F.lit(bits - 1).cast("long"))
+    blocks = keys.select(place.alias("place")).distinct().withColumn("block", F.floor(F.col("place") / BLOCK_BITS))
+
+    def build(group: pa.Table) -> pa.Table:
+        on = np.zeros(BLOCK_BITS, np.uint8)
+        on[group["place"].to_numpy() % BLOCK_BITS] = 1
+        return pa.table({"block": group["block"].slice(0, 1), "bits": pa.array([np.packbits(on).tobytes()])})
+
+    table_ = bytearray(bits // 8)
+    for r in blocks.groupBy("block").applyInArrow(build, "block long, bits binary").toLocalIterator():
+        table_[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = r.bits
+    return bits, bytes(table_)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share=SHARE, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, item_id, n_item (shingles of the item), n_shared, for every item found in a document."""
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long"), "text").filter(F.col("text").rlike(WORD)).distinct()
-    n_blocks = max(1, -(-items.count() // block))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])
-    found = None
-    for k in range(n_blocks):
-        mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in mine])
-
-        def run(batches, sent=sent):
-            sketches = _Sketches(sent.value, width, share)
-            for batch in batches:
-                out = [[], [], [], []]
-                ids, texts = batch.column(0), batch.column(1)
-                for a, _, raw, offsets in N._slices(texts):
-                    seen = {}
-                    for d, i in sketches.candidates(*N.shingle_names(raw, offsets, width)).tolist():
-                        if d not in seen:
-                            seen = {d: exact_shingles(texts[a + d].as_py(), width)}
-                        n = len(sketches.sets[i] & seen[d])
-                        if n >= sketches.least[i]:
-                            for column, x in zip(out, (ids[a + d].as_py(), sketches.ids[i], len(sketches.sets[i]), n), strict=True):
-                                column.append(x)
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in out], schema=schema)
-
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
-        found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("doc_id", "item_id").orderBy((F.col("n_shared") / F.col("n_item")).desc(), "n_item")
-    return found.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").rlike(WORD)).distinct()
+    wanted = materialise(wanted.withColumn("item", F.monotonically_increasing_id()), "items")
+    sketches = materialise(wanted.select("item", "text").mapInArrow(lambda batches: _sketches(batches, width, share), _ITEM), "sketches")
+    bits, filled = _bit_table(sketches.select("key"), sketches.count(), most_bits)
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def probe(batches):
+        on = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        for batch in batches:
+            for a, _, raw, offsets in N._slices(batch.column("text")):
+                names, of = N.shingle_names(raw, offsets, width)
+                hit = np.flatnonzero(on[(names & S.U(bits - 1)).astype(np.int64)])
+                doc = np.searchsorted(of, hit, "right") - 1
+                shown, first = np.unique(doc, return_index=True)
+                keys = pa.ListArray.from_arrays(pa.array(np.r_[first, len(hit)].astype(np.int32)), pa.array(names[hit].view(np.int64)))
+                rows = pa.array(shown + a)
+                yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("text").take(rows), pa.array(np.diff(of)[shown]), keys], names=["doc_id", "text", "n_doc", "keys"])
+
+    given = docs.select("doc_id", "text").filter(F.col("text").rlike(WORD))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in given.schema] + [T.StructField("n_doc", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    suspects = materialise(given.mapInArrow(probe, schema).withColumn("row", F.monotonically_increasing_id()), "suspects")
+    shows = suspects.select("row", "n_doc", F.explode("keys").alias("key")).join(sketches, "key").filter("n_doc >= least")
+    candidates = shows.groupBy("row", "item").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).filter("n >= needed").select("row", "item")
+    texts = candidates.join(wanted, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+
+    def decide(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            for k in range(batch.num_rows):
+                own = exact_shingles(batch.column("text")[k].as_py(), width)
+                for item in batch.column("items")[k].as_py():
+                    wants = exact_shingles(item["text"], width)
+                    n = len(wants & own)
+                    if n >= least_shared(len(wants), share):
+                        for column, x in zip(out, (k, item["item_id"], len(wants), n), strict=True):
+                            column.append(x)
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(out[0], pa.int64())), *[pa.array(x, pa.int64()) for x in out[1:]]], names=["doc_id", "item_id", "n_item", "n_shared"])
+
+    schema = T.StructType([T.StructField("doc_id", given.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("item_id", "n_item", "n_shared")]])
+    found = suspects.select("row", "doc_id", "text").join(texts, "row").select("doc_id", "text", "items").mapInArrow(decide, schema)
+    best = F.max_by(F.struct("n_item", "n_shared"), F.struct(F.col("n_shared") / F.col("n_item"), -F.col("n_item"))).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_item", "best.n_shared")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those in which an item is found; rows without doc_id are searched by their text's hash."""
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("_key", key)
-    leaks = contained_items(keyed.select(F.col("_key").alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    """docs without those in which an item is found; a row is told by a SHA-256 of doc_id and text, so a null doc_id is no key."""
+    hidden, back = shielded(docs)
+    column = lambda c: F.col(hidden[docs.columns.index(c)])
+    given = docs.toDF(*hidden)
+    key = F.unhex(F.sha2(F.concat(F.coalesce(column("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(column("text"), F.lit(""))), 256))
+    keyed = given.withColumn("key", key)
+    leaks = contained_items(keyed.select(F.col("key").alias("doc_id"), column("text").alias("text")), items, **options).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(leaks, "key", "left_anti").select(*back)
 
 
 def op9_decontamination(spark, sf_dir):

@@ -1,10 +1,11 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 A document's set holds its distinct word shingles (lower-cased A-Z; with fewer words, the whole
-sequence as one; without words, nothing). Rows with equal sets are collapsed first. Bands of a MinHash
-signature propose pairs; a pair's signatures are compared batch by batch, and it is dropped once the
-posterior probability that its similarity reaches the threshold falls under ``miss``; survivors are
-decided on their full sets of shingles, read from the texts.
+sequence as one; without words, nothing). Rows with equal word sequences are collapsed first, by a 128-bit
+BLAKE2b digest of the sequence. Bands of a MinHash signature propose pairs; a pair's signatures are compared
+batch by batch, and it is dropped once the posterior probability that its similarity reaches the threshold
+falls under ``miss``; survivors are decided on their full sets of shingles, read from the texts and compared
+word by word, not by hashes.
 
 Only components are returned, so a pair inside a known component needs no look. Each round links every
 member of a bucket to one hub of that bucket, joins components, and drops buckets whose members are all
@@ -23,16 +24,18 @@ doc_id. Extra columns play no part. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobath.llm import spans as S
 from isobath.llm.components import connected
-from isobath.llm.shared import materialise, table
+from isobath.llm.shared import discard, materialise, table
 
 THRESHOLD = (80, 100)
 BANDS, ROWS = 32, 5
@@ -41,21 +44,34 @@ MISS = 1e-6
 HUB_ROUNDS = 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER = LOWER.tobytes()
+VERIFY_BYTES = 1 << 20
 _HASHES = np.random.default_rng(808).integers(0, 2**63, (2, 1024), dtype=np.uint64) * S.U(2) + S.U(1)
 
 
 def shingle_names(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit names of the distinct shingles of each document, sorted by document; and the offsets of the documents."""
+    return _shingles(*_words(raw, offsets), width)[:2]
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray):
+    """The lower-cased bytes, starts and ends of the words, and each document's first word (with a final total)."""
     raw = LOWER[raw]
-    s, e, first = S.words(raw, offsets)
-    n_docs, per_doc = len(offsets) - 1, np.diff(first)
-    w = S.name(S.prefix(S.byte_values(raw)), s, e) + (e - s).astype(np.uint64)
-    sums = S.prefix(S.mix(w))
+    s, e = S.words(raw, offsets)
+    return raw, s, e, np.searchsorted(s, offsets)
+
+
+def _shingles(raw, s, e, first, width: int):
+    n_docs, per_doc = len(first) - 1, np.diff(first)
+    w = S.word_names(raw, s, e)[0]
     doc = np.repeat(np.arange(n_docs), per_doc)
-    number = np.arange(len(s)) - first[doc]
+    at = np.flatnonzero(np.arange(len(s)) - first[doc] + width <= per_doc[doc])
     short = np.flatnonzero((per_doc > 0) & (per_doc < width))
-    at = np.flatnonzero(number + width <= per_doc[doc])
-    names = np.concatenate([S.name(sums, at, at + width), S.name(sums, first[short], first[short] + per_doc[short])])
+    whole = S.mix(per_doc[short].astype(np.uint64))
+    for j in range(width - 1):
+        more = per_doc[short] > j
+        whole[more] = S.pair(whole[more], w[first[short[more]] + j], 1)
+    names = np.concatenate([S.lengthen(w, 1, width)[at], whole])
     owner = np.concatenate([doc[at], short])
     order = np.lexsort((names, owner))
     names, owner = names[order], owner[order]
@@ -65,6 +81,41 @@ def shingle_names(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return names, np.searchsorted(owner, np.arange(n_docs + 1))
 
 
+def sequences(raw, s, e, first) -> list[bytes]:
+    """The words of each document joined by one space."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    gap = e[:-1][doc[1:] == doc[:-1]]
+    stays = S.covered(s, e, len(raw))
+    stays[gap] = True
+    raw = raw.copy()
+    raw[gap] = 0x20
+    data = raw[stays].tobytes()
+    size = np.bincount(doc, weights=e - s, minlength=len(first) - 1).astype(np.int64) + np.maximum(np.diff(first) - 1, 0)
+    cut = np.r_[0, np.cumsum(size)]
+    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def exact_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted codes; codes of one call are equal if and only if the words are."""
+    split = [(t or b"").translate(_LOWER).split() for t in texts]
+    ids: dict[bytes, int] = {}
+    n = np.array([len(ws) for ws in split], np.int64)
+    flat = np.fromiter((ids.setdefault(w, len(ids) + 1) for ws in split for w in ws), np.int64, int(n.sum()))
+    first = np.r_[0, np.cumsum(n)]
+    doc = np.repeat(np.arange(len(n)), n)
+    number = np.arange(len(flat)) - first[doc]
+    code = flat
+    for j in range(1, width):
+        ahead = np.zeros_like(flat)
+        ahead[: max(0, len(flat) - j)] = flat[j:]
+        ahead[number + j >= n[doc]] = 0
+        code = (np.unique(code, return_inverse=True)[1].reshape(-1) if j > 1 else code) * (len(ids) + 1) + ahead
+    keep = (number + width <= n[doc]) | ((number == 0) & (n[doc] < width))
+    at = np.flatnonzero(keep)
+    bounds = np.searchsorted(doc[at], np.arange(len(n) + 1))
+    return [np.unique(code[at[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def signatures(names: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """(documents, n) MinHashes cut to 16 bits; documents with an empty set get zeros."""
     full = np.flatnonzero(np.diff(offsets))
@@ -109,22 +160,19 @@ def _slices(texts: pa.Array, most: int = S.BLOCK_BYTES):
 
 
 def sketch(docs: DataFrame, width: int, n_hashes: int) -> DataFrame:
-    """doc_id, n_shingles, set_hi, set_lo (128 bits that name the set) and the signature as binary."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("signature", pa.binary())])
+    """doc_id, n_shingles, digest (of the word sequence; null without words) and the signature as binary."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for a, b, raw, offsets in _slices(batch.column(1)):
-                names, of = shingle_names(raw, offsets, width)
-                n = np.diff(of)
+                found = _words(raw, offsets)
+                names, of = _shingles(*found, width)
                 sig = signatures(names, of, n_hashes)
-                both = []
-                for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93):
-                    sums = np.r_[S.U(0), np.cumsum(S.mix(names ^ S.U(c)))]
-                    both.append(S.mix(sums[of[1:]] - sums[of[:-1]] + n.astype(np.uint64)).view(np.int64))
-                yield pa.record_batch([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(both[0]), pa.array(both[1]), pa.array([x.tobytes() for x in sig], pa.binary())], schema=schema)
+                digests = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in sequences(*found)]
+                yield pa.record_batch([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(of), pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 def _prune(pairs: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
@@ -151,20 +199,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, part: int, whole: in
     def run(batches):
         for batch in batches:
             ids = [batch.column(c).to_numpy() for c in ("a", "b")]
-            left, right = batch.column("text_a"), batch.column("text_b")
-            step = 64
-            for at in range(0, batch.num_rows, step):
-                sets = []
-                for column in (left, right):
-                    raw, offsets = _flat(column.slice(at, step))
-                    sets.append(shingle_names(raw, offsets, width))
-                (x, ox), (y, oy) = sets
+            sides = [batch.column(f"text_{c}").cast(pa.large_binary()) for c in "ab"]
+            sizes = np.cumsum(sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False) for t in sides))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + VERIFY_BYTES)))
+                sets = exact_sets([x for t in sides for x in t.slice(at, end - at).to_pylist()], width)
                 good = []
-                for i in range(len(ox) - 1):
-                    p, q = x[ox[i] : ox[i + 1]], y[oy[i] : oy[i + 1]]
+                for i, (p, q) in enumerate(zip(sets[: end - at], sets[end - at :], strict=True)):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if both and whole * both >= part * (len(p) + len(q) - both):
                         good.append(at + i)
+                at = end
                 yield pa.record_batch([pa.array(c[good], pa.int64()) for c in ids], names=["a", "b"])
 
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -209,9 +255,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold=THRESHOLD, bands:
     n = bands * rows
     bounds = needed_agreements(n, BATCH, threshold[0] / threshold[1], miss)
     sketches = materialise(sketch(docs, width, n), "sketch")
-    group = ["set_hi", "set_lo", "n_shingles"]
-    real = sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = materialise(real.groupBy(*group).agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature")), "sets")
+    real = sketches.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    reps = materialise(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "sequences")
 
     def keys(batches):
         for batch in batches:
@@ -221,17 +266,18 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold=THRESHOLD, bands:
                 out = S.pair(out, sig[:, :, r])
             yield pa.record_batch([pa.array(out.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), bands))], names=["key", "rep"])
 
-    banded = reps.select("rep", "signature").mapInArrow(keys, "key long, rep long")
-    often = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = materialise(banded.join(often, "key"), "members")
-    texts = materialise(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    sig = lambda x: reps.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}"))
-
+    # buckets of two and more, and for each member how many it meets in all its buckets
+    banded = materialise(reps.select("rep", "signature").mapInArrow(keys, "key long, rep long"), "bands")
     sizes = banded.groupBy("key").agg(F.count("*").alias("meets")).filter("meets > 1")
-    degrees = banded.join(sizes, "key").groupBy("rep").agg(F.sum("meets").alias("degree"))
-    members = materialise(members.join(degrees, "rep"), "members")
+    shared = materialise(banded.join(sizes, "key"), "shared")
+    degrees = shared.groupBy("rep").agg(F.sum("meets").alias("degree"))
+    members = materialise(shared.drop("meets").join(degrees, "rep"), "members")
+    discard(banded)
+    texts = materialise(docs.select("doc_id", "text").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    discard(shared)
+    sig = lambda x: reps.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}"))
 
-    links, component, tried = None, None, None
+    links, component, tried, spent = None, None, None, [members, texts]
     for step in range(hub_rounds + 1):
         now = members.withColumn("c", F.col("rep")) if component is None else members.join(component, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
         rank = F.struct(-F.col("degree"), "rep") if step == 0 else F.struct(F.xxhash64("rep", F.lit(step)), "rep")
@@ -245,15 +291,21 @@ def near_duplicates(docs: DataFrame, width: int = 2, threshold=THRESHOLD, bands:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        spent.append(pairs)
         if step and pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         close = materialise(_prune(pairs.join(sig("a"), "a").join(sig("b"), "b"), bounds), "close")
         found = materialise(_verify(close, texts, width, *threshold), "links")
+        spent += [close, found]
         links = found if links is None else links.unionByName(found)
+        if component is not None:
+            spent.append(component)
         component = connected(links).withColumnsRenamed({"node": "rep", "component": "c"})
-    by_set = reps.join(component, "rep", "left").select(*group, F.coalesce("c", "rep").alias("component_id"))
-    joined = sketches.select("doc_id", *group).join(by_set, group, "left")
+    for made in spent:
+        discard(made)
+    by_sequence = reps.join(component, "rep", "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
+    joined = sketches.select("doc_id", "n_shingles", "digest").join(by_sequence, "digest", "left")
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,15 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder of its own, which goes with the process; a
+    cluster gets an error, as its machines would not see each other's local folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="isobath-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        set_ = context._jsc.sc().getCheckpointDir()
+        if set_.isDefined():
+            found = set_.get()
+        elif re.match(r"local(\[|$)", context.master):
+            if context.applicationId not in _own:
+                folder = tempfile.mkdtemp(prefix="isobath-")
+                atexit.register(shutil.rmtree, folder, ignore_errors=True)
+                _own[context.applicationId] = "file://" + folder
+            found = _own[context.applicationId]
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     return found.rstrip("/")
 
 
+def shielded(docs: DataFrame) -> tuple[list[str], list[Column]]:
+    """Names by place for docs.toDF(..), which no internal column can clash with, and the columns under their own names again."""
+    hidden = [f"given_{i}" for i in range(len(docs.columns))]
+    return hidden, [F.col(h).alias(c) for h, c in zip(hidden, docs.columns, strict=True)]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again.
 

@@ -104,8 +104,8 @@ def test_decontamination_against_brute_force(spark):
             if s and 100 * len(s & own) >= 80 * len(s):
                 want.add((i, k, len(s), len(s & own)))
     docs, bench_df = spark.createDataFrame(rows, cases.SCHEMA), spark.createDataFrame(bench, "item_id long, text string")
-    for block in (20_000, 2):
-        assert {tuple(r) for r in decontamination.contained_items(docs, bench_df, block=block).collect()} == want
+    for bits in (decontamination.MOST_BITS, decontamination.BLOCK_BITS):
+        assert {tuple(r) for r in decontamination.contained_items(docs, bench_df, most_bits=bits).collect()} == want
     assert {(5000 + k, k) for k in range(5)} <= {(i, k) for i, k, *_ in want}
     left = decontamination.decontaminate(docs, bench_df)
     assert left.count() == len(rows) - len({i for i, *_ in want}) and left.columns == docs.columns
