@@ -8,11 +8,13 @@ only find candidates; occurrences count as equal when their bytes are.
 
 Nulls and empty texts: a null text stays null and an empty one empty, with nothing removed. Rows with
 equal doc_id and text are one document and get the same result; rows of one doc_id with different
-texts are told apart by the text's hash, smaller hash first. A null doc_id comes first. Columns named
-like an output are replaced; all others pass through. An empty table gives an empty one.
+texts are told apart by the text's MD5, smaller one first. A null doc_id comes first. Columns named
+like an output are replaced; all others pass through untouched, whatever their names. An empty table gives
+an empty one.
 
-Only DataFrame operations are used. A hot chunk is pre-aggregated before each shuffle; whole texts are
-shuffled by document, and by content only the chunks that repeat.
+Only DataFrame operations are used. Lines are hashed once over all texts, and again in documents that have a
+candidate. A hot chunk is pre-aggregated before each shuffle; whole texts are shuffled once by document, those
+with candidates twice, and by content only the chunks that repeat.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobath.llm.shared import WORD, table
+from isobath.llm.shared import WORD, discard, materialise, shielded, table
 
 PERIOD = 3
 MIN_LINES = 2
-KEY = ["_d", "_t"]
+KEY = ["d", "t"]
 NONE = -(2**63)
 
 
 def chunked(docs: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Adds chunks: array of (k, n_lines, body). explode() keeps line arrays from being recomputed in lambdas."""
+    """Adds chunks: array of (k, n_lines, body), null for a null text. explode() keeps line arrays from being recomputed in lambdas."""
 
     def boxed(df: DataFrame, name: str, **parts: Column) -> DataFrame:
         return df.withColumn(name, F.explode(F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))))
@@ -52,35 +54,36 @@ def chunked(docs: DataFrame, period: int = PERIOD) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, period: int = PERIOD, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with text cleaned, n_lines, n_removed (lines) and n_chunks_removed."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_chunks_removed")]
-    keyed = docs.select(*kept, F.coalesce("doc_id", F.lit(NONE)).alias("_d"), F.xxhash64("text").alias("_t"))
-    texts = keyed.select(*KEY, "text").filter(F.col("text").isNotNull())
+    hidden, back = shielded(docs)
+    name = dict(zip(docs.columns, hidden, strict=True))
+    key = F.coalesce(name["doc_id"], F.lit(NONE)).alias("d"), F.unhex(F.md5(F.col(name["text"]).cast("binary"))).alias("t")
+    keyed = docs.toDF(*hidden).select("*", *key)
 
-    # candidates: chunks whose hash occurs more than once
-    whole = chunked(texts, period).select(*KEY, F.explode("chunks").alias("c"))
+    # chunks that may go, by a hash that only finds candidates: written once, read for the counts and for the rows
+    whole = chunked(keyed.select(*KEY, F.col(name["text"]).alias("text")), period).select(*KEY, F.explode("chunks").alias("c"))
     eligible = whole.filter((F.col("c.n_lines") >= min_lines) & F.col("c.body").rlike(WORD))
-    at = eligible.select(*KEY, F.col("c.k").alias("k"), F.xxhash64("c.body").alias("h"))
+    at = materialise(eligible.select(*KEY, F.col("c.k").alias("k"), F.xxhash64("c.body").alias("h")), "chunks")
     often = at.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     candidates = at.join(often, "h", "left_semi").groupBy(*KEY).agg(F.collect_set("k").alias("ks"))
+    marked = materialise(keyed.join(candidates, KEY, "left"), "marked")
+    discard(at)
 
-    # byte comparison: of the candidates with the same bytes the first one stays
-    some = chunked(texts.join(candidates, KEY), period).select(*KEY, F.explode(F.filter("chunks", lambda c: F.array_contains("ks", c["k"]))).alias("c"))
+    # byte comparison, in documents that have candidates: of those with the same bytes the first one stays
+    suspects = chunked(marked.filter("ks is not null").withColumn("text", F.col(name["text"])), period)
+    some = suspects.select(*KEY, F.explode(F.filter("chunks", lambda c: F.array_contains("ks", c["k"]))).alias("c"))
     first = some.groupBy(F.col("c.body").alias("body")).agg(F.min(F.struct(*KEY, F.col("c.k").alias("k"))).alias("first"))
     stay = first.select("first.*").groupBy(*KEY).agg(F.collect_set("k").alias("stay"))
-    none = F.array().cast("array<int>")
-    gone = candidates.join(stay, KEY, "left").select(*KEY, F.array_except("ks", F.coalesce("stay", none)).alias("gone")).filter(F.size("gone") > 0)
-
-    done = chunked(keyed.withColumn("_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit(""))).join(gone, KEY, "left").withColumn("gone", F.coalesce("gone", none)), period)
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, c: acc + c["n_lines"])
+    done = suspects.join(stay, KEY, "left").withColumn("gone", F.array_except("ks", F.coalesce("stay", F.array().cast("array<int>"))))
     left = F.filter("chunks", lambda c: ~F.array_contains("gone", c["k"]))
     lost = F.filter("chunks", lambda c: F.array_contains("gone", c["k"]))
-    text = F.when(F.col("_null"), F.lit(None)).when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["body"]), "\n"))
-    return done.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in kept],
-        F.when(F.col("_null"), F.lit(0)).otherwise(total(F.col("chunks"))).cast("long").alias("n_lines"),
-        total(lost).alias("n_removed"),
-        F.size(lost).cast("long").alias("n_chunks_removed"),
-    )
+    total = F.aggregate(lost, F.lit(0).cast("long"), lambda acc, c: acc + c["n_lines"])
+    cleaned = done.select(*hidden, F.when(F.size("gone") == 0, F.col(name["text"])).otherwise(F.array_join(F.transform(left, lambda c: c["body"]), "\n")).alias("cleaned"), total.alias("lines"), F.size(lost).cast("long").alias("chunks"))
+    zero = F.lit(0).cast("long")
+    both = cleaned.unionByName(marked.filter("ks is null").select(*hidden, F.col(name["text"]).alias("cleaned"), zero.alias("lines"), zero.alias("chunks")))
+    text = F.col(name["text"])
+    n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    kept = [F.col("cleaned").alias("text") if c == "text" else x for c, x in zip(docs.columns, back, strict=True) if c not in ("n_lines", "n_removed", "n_chunks_removed")]
+    return both.select(*kept, n_lines.alias("n_lines"), F.col("lines").alias("n_removed"), F.col("chunks").alias("n_chunks_removed"))
 
 
 def op4_line_dedup(spark, sf_dir):
