@@ -10,29 +10,37 @@ The score weighs the learned languages against each other and says nothing of a
 that, calibrate() finds the usual mean log-probability of a trigram under the language told, and how far
 held-out texts of all lengths fall below it; identify() marks as foreign what falls ``REACH`` times as far.
 
-Learned from a bounded sample: at most ``PER_LANG`` rows a language (and ``SAMPLE`` in all), chosen by a
-hash of doc_id among the labelled rows for training; everything is predicted. doc_id, lang and source are
-never inputs of a prediction. Learning is deterministic.
+Learned from a bounded sample: at most ``PER_LANG`` rows a language and ``SAMPLE`` in all, chosen by a hash of
+doc_id and text among the labelled rows for training, of the ``MOST_LANGS`` most frequent languages;
+everything is predicted. doc_id, lang and source are never inputs of a prediction. Learning is deterministic.
+In the family's posterior a text counts as at most ``WEIGHT`` trigrams, which only tempers the score: the family
+told is the same for any weight.
 
 Nulls, empty texts and texts without a letter are ``und`` with score 0; so is everything if there is no
-labelled row. A null doc_id is not held out. Equal texts get equal predictions. Extra columns play no
-part.
+labelled row. A null doc_id is not held out. Equal texts get equal predictions. Columns named like an output
+are replaced; all others play no part and pass through untouched, whatever their names. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isobath.llm import near_dedup as N
-from isobath.llm import spans as S
-from isobath.llm.shared import table
+from isobath.llm.shared import shielded, table
 
 BITS = 12
 PER_LANG = 300
 SAMPLE = 6_000
+MOST_LANGS = 600
+# The trigrams of a text are not independent: in the family's posterior a text weighs no more than so many.
+WEIGHT = 200.0
 EPOCHS = 12
 LAMBDA = 1e-4
 # One held-out text in four falls further below its language's median than the usual reach: texts with foreign passages do not widen it. A language with fewer such texts than LEAST_HELD is not judged.
@@ -132,8 +140,7 @@ class Model:
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
         total = np.maximum(counts.sum(axis=1), 1)
-        # the counts are not independent: a long text weighs no more than 200 trigrams
-        scores = (counts @ self.log.T) * np.minimum(1.0, 200.0 / total)[:, None]
+        scores = (counts @ self.log.T) * np.minimum(1.0, WEIGHT / total)[:, None]
         post = np.exp(scores - scores.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         names, pick = list(self.families), post.argmax(axis=1)
@@ -171,24 +178,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _sampled(docs: DataFrame, out: bool, per_lang: int, sample: int, more: float) -> tuple[DataFrame, int] | None:
+    """text, lang and a draw u of a sample of the labelled rows that are held out or not, and how many a language may
+    have; the most frequent ``MOST_LANGS`` languages count. ``more`` times the rows asked for are let through."""
+    part = held_out(F.col("doc_id"))
+    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (part if out else ~part) & F.col("text").rlike(r"\p{L}"))
+    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(MOST_LANGS, sample)).collect()
+    if not counted:
+        return None
+    most = min(per_lang, sample // len(counted))
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[F.lit(x) for r in counted for x in (r.lang, min(1.0, more * most / r.n + (more > 1) * 10 / r.n))])
+    return usable.withColumn("u", u).filter(F.col("u") < share[F.col("lang")]).select("text", "lang", "u"), most
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
     """A model of the labelled rows that are not held out; None if there are none."""
-    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counted = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counted:
+    found = _sampled(docs, False, per_lang, sample, 1.3)
+    if found is None:
         return None
-    most = max(1, min(per_lang, sample // len(counted)))
-    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, n in counted.items() for x in (lang, min(1.0, 1.3 * most / n + 10 / n))])
-    few = usable.withColumn("u", spread).filter(F.col("u") < share[F.col("lang")])
+    few, most = found
 
     def run(batches):
         for batch in batches:
             for a, b, raw, offsets in N._slices(batch.column(0)):
-                rows = np.minimum(features(raw, offsets), 65_535).astype(np.uint16)
-                yield pa.record_batch([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["f", "lang", "u"])
+                rows = features(raw, offsets).astype(np.uint32)
+                yield pa.record_batch([pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["f", "lang", "u"])
 
-    rows = few.select("text", "lang", "u").mapInArrow(run, "f binary, lang string, u double").toArrow().sort_by([("lang", "ascending"), ("u", "ascending"), ("f", "ascending")])
+    rows = few.mapInArrow(run, "f binary, lang string, u double").toArrow().sort_by([("lang", "ascending"), ("u", "ascending"), ("f", "ascending")])
     langs = rows["lang"].to_pylist()
     at, n = [], {}
     for i, lang in enumerate(langs):
@@ -197,7 +214,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
             at.append(i)
     counts = np.empty((len(at), 1 << BITS), np.float32)
     for i, k in enumerate(at):
-        counts[i] = np.frombuffer(rows["f"][k].as_buffer(), np.uint16)
+        counts[i] = np.frombuffer(zlib.decompress(rows["f"][k].as_buffer()), np.uint32)
     return Model(counts, [langs[i] for i in at])
 
 
@@ -205,13 +222,9 @@ def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sa
     """Per language the median of the likelihood, and the usual reach below it, over a bounded sample of held-out rows told as labelled."""
     if model is None:
         return {}
-    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counted = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counted:
+    found = _sampled(docs, True, per_lang, sample, 1.0)
+    if found is None:
         return {}
-    most = max(1, min(per_lang, sample // len(counted)))
-    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, n in counted.items() for x in (lang, min(1.0, most / n))])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -224,7 +237,7 @@ def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sa
                 yield pa.record_batch([pa.array(langs, pa.string()), pa.array(mean), pa.array(wide), told], names=["lang", "mean", "wide", "told"])
 
     seen: dict[str, list[tuple[float, float]]] = {}
-    for r in usable.filter(spread < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, mean double, wide double, told boolean").filter("told").collect():
+    for r in found[0].select("text", "lang").mapInArrow(run, "lang string, mean double, wide double, told boolean").filter("told").collect():
         seen.setdefault(r.lang, []).append((r["mean"], r.wide))
     spreads = {lang: np.array(rows).T for lang, rows in seen.items() if len(rows) >= LEAST_HELD}
     centres = {lang: float(np.median(mean)) for lang, (mean, _) in spreads.items()}
@@ -237,11 +250,14 @@ def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sa
 def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """docs with lang_pred and score, and foreign if what calibrate() found is given."""
     added = ["lang_pred", "score"] + ["foreign"] * (usual is not None)
-    kept = [c for c in docs.columns if c not in added]
+    hidden, back = shielded(docs)
+    back = [x for c, x in zip(docs.columns, back, strict=True) if c not in added]
+    given, text = docs.toDF(*hidden), F.col(hidden[docs.columns.index("text")])
     if model is None:
-        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *[F.lit(False).alias(c) for c in added[2:]])
+        return given.select(*back, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *[F.lit(False).alias(c) for c in added[2:]])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "foreign": T.BooleanType()}
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in given.schema] + [T.StructField(c, kinds[c]) for c in added])
 
     def run(batches):
         for batch in batches:
@@ -258,10 +274,10 @@ def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float,
                 for i in range(b - a):
                     langs.append(found[i] if lettered[a + i] else "und")
                     scores.append(float(score[i]) if lettered[a + i] else 0.0)
-            yield pa.record_batch([*batch.columns[:-2], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(strange, pa.bool_()) for _ in added[2:]]], names=[*kept, *added])
+            yield pa.record_batch([*batch.columns[:-2], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(strange, pa.bool_()) for _ in added[2:]]], names=schema.names)
 
-    given = docs.select(*kept, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    return given.mapInArrow(run, f"{fields}, lang_pred string, score double" + ", foreign boolean" * (usual is not None))
+    told = given.select("*", text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter")).mapInArrow(run, schema)
+    return told.select(*back, *added)
 
 
 def op3_language_id(spark, sf_dir):
