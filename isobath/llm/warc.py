@@ -11,9 +11,13 @@ whole; segments are grouped by origin identifier, ordered by segment number, and
 run from 1 without a gap and the length is the stated total; then the chunked framing is decoded and the
 payload's digest is checked. An incomplete or damaged record gets payload null and says why in ``error``.
 
-Nulls: a null payload is empty, a null url an empty string; rows without page_id are not written. Repeated
-rows of one page_id are one page (of different payloads the one with the smaller digest). Extra columns
-play no part. An empty table gives an empty archive.
+A record's identifier holds the page_id and the payload's digest, so a page with several payloads has a record
+for each. Equal payloads of one page_id are one record that states how often it was given, and are as many rows
+again when they are read (their url is any of theirs).
+
+Nulls: a null payload is empty, a null url an empty string, a null page_id a page of its own that revisits any
+page with an id. Extra columns play no part. An empty table gives an empty archive. Spark's text writer makes one
+gzip member a file, so files are read whole; a page's segments meet in one row, which holds less than 2 GB.
 """
 
 from __future__ import annotations
@@ -35,13 +39,22 @@ RECORDS_A_FILE = 2000
 SEP = b"\r\n\r\n"
 
 
-def decisions(pages: DataFrame, least: int = REVISIT) -> DataFrame:
-    """page_id, sha1, record_type, refers_to. Only pages whose payload repeats meet a join."""
+def identified(pages: DataFrame) -> DataFrame:
+    """id, page_id, url, payload (binary), n, sha1 of each row; equal payloads of one page_id have one id."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    sized = pages.filter(F.col("page_id").isNotNull()).select("page_id", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n")).groupBy("page_id").agg(F.min(F.struct("sha1", "n")).alias("p")).select("page_id", "p.*")
-    often = sized.filter(F.col("n") >= least).groupBy("sha1", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("times")).filter("times > 1")
-    refers = F.when(F.col("last") != F.col("page_id"), F.col("last"))
-    return sized.join(often, ["sha1", "n"], "left").select("page_id", "sha1", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
+    return rows.withColumn("id", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("sha1")))
+
+
+def decisions(pages: DataFrame, least: int = REVISIT) -> DataFrame:
+    """id, copies (rows of it), record_type, refers_to (an id). Only payloads that repeat meet a join."""
+    each = identified(pages).groupBy("id", "page_id", "sha1", "n").agg(F.count("*").alias("copies"))
+    # of pages without an id none is the largest, unless all are
+    latest = F.max_by("id", F.struct(F.col("page_id").isNotNull(), "page_id")).alias("latest")
+    often = each.filter(F.col("n") >= least).groupBy("sha1", "n").agg(latest, F.count("*").alias("times")).filter("times > 1")
+    refers = F.when(F.col("latest") != F.col("id"), F.col("latest"))
+    return each.join(often, ["sha1", "n"], "left").select("id", "copies", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
 
 
 def frame(payload: bytes, size: int = HTTP_CHUNK) -> bytes:
@@ -71,18 +84,18 @@ def _record(kind: str, id_: str, block: bytes, **headers) -> bytes:
     return b"\r\n".join([*lines, b"Content-Length: %d" % len(block)]) + SEP + block
 
 
-def page_urn(page_id: int) -> str:
-    return f"urn:page:{page_id}"
+def page_urn(page_id: int | None, payload: bytes) -> str:
+    return f"urn:page:{'null' if page_id is None else page_id}:{hashlib.sha1(payload).hexdigest()}"
 
 
-def records(page_id: int, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page, without the separators after them."""
-    id_, digest = page_urn(page_id), f"sha1:{hashlib.sha1(payload).hexdigest()}"
+def records(id_: str, url: str, payload: bytes, refers_to: str | None, segment: int = SEGMENT, copies: int = 1) -> list[bytes]:
+    """The records of one page, without the separators after them; the first says how many rows of the page there are."""
+    digest = f"sha1:{hashlib.sha1(payload).hexdigest()}"
     uri = "".join(c if c > " " else "%20" for c in url)
-    headers = {"WARC_Target_URI": uri, "WARC_Payload_Digest": digest, "Content_Type": "application/http; msgtype=response", "X_Payload_Length": len(payload)}
+    headers = {"WARC_Target_URI": uri, "WARC_Payload_Digest": digest, "Content_Type": "application/http; msgtype=response", "X_Payload_Length": len(payload), "X_Copies": copies if copies > 1 else None}
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + SEP
     if refers_to is not None:
-        return [_record("revisit", id_, head, WARC_Refers_To=f"<{page_urn(refers_to)}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **headers)]
+        return [_record("revisit", id_, head, WARC_Refers_To=f"<{refers_to}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **headers)]
     block = head + frame(payload)
     if len(block) <= segment:
         return [_record("response", id_, block, **headers)]
@@ -95,17 +108,18 @@ def records(page_id: int, url: str, payload: bytes, refers_to: int | None, segme
 
 
 def write_archives(pages: DataFrame, path: str, least: int = REVISIT, segment: int = SEGMENT) -> None:
-    """Write pages (page_id, url, html) as WARC files into the folder path."""
-    payload = F.coalesce(F.col("html"), F.lit(""))
+    """Write pages (page_id, url, html) as WARC files into the folder path.
+
+    Equal rows meet before the payloads are shuffled, by their id, to which the decisions are joined.
+    """
     decided = materialise(decisions(pages, least), "warc")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha1")).join(decided, ["page_id", "sha1"])
-    once = rows.dropDuplicates(["page_id"]) if pages.count() != decided.count() else rows
+    once = identified(pages).select("id", "url", "payload").dropDuplicates(["id"]).join(decided, "id")
 
     def run(batches):
         for batch in batches:
             out, size = [], 0
-            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                for r in records(page_id, url, html.encode(), refers_to, segment):
+            for id_, url, payload, refers_to, copies in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to", "copies")), strict=True):
+                for r in records(id_, url, payload, refers_to, segment, copies):
                     out.append(r)
                     size += len(r)
                 if size > 4 << 20:
@@ -113,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT, segment: i
                     out, size = [], 0
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
-    made = once.select("page_id", "url", "html", "refers_to").mapInArrow(run, "record binary")
+    made = once.select("id", "url", "payload", "refers_to", "copies").mapInArrow(run, "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEP.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
@@ -136,27 +150,36 @@ def _bare(id_: str | None) -> str | None:
     return id_.strip("<>") if id_ else None
 
 
-_FIELDS = pa.schema([("id", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("stated", pa.int64()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
-_DDL = "id string, kind string, uri string, refers string, digest string, stated long, segment long, total long, block binary"
+_FIELDS = pa.schema([("id", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("stated", pa.int64()), ("copies", pa.int64()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+_DDL = "id string, kind string, uri string, refers string, digest string, stated long, copies long, segment long, total long, block binary"
+_BATCH = 256
+
+
+def _record_batches(rows, schema: pa.Schema):
+    """Rows as record batches of up to _BATCH rows."""
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == _BATCH:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row per record; id is the origin's identifier for continuations."""
 
+    def rows(data: bytes):
+        for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            stated, copies, number, total = (int(h[k]) if k in h else None for k in ("x-payload-length", "x-copies", "warc-segment-number", "warc-segment-total-length"))
+            id_ = h.get("warc-segment-origin-id", h["warc-record-id"])
+            yield _bare(id_), h["warc-type"], h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), h.get("warc-payload-digest"), stated, copies, number, total, block
+
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
-                data = content.as_py()
-                rows = []
-                for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    length, number, total = (int(h[k]) if k in h else None for k in ("x-payload-length", "warc-segment-number", "warc-segment-total-length"))
-                    id_ = h.get("warc-segment-origin-id", h["warc-record-id"])
-                    rows.append((_bare(id_), h["warc-type"], h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), h.get("warc-payload-digest"), length, number, total, block))
-                    if len(rows) == 256:
-                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS)
-                        rows = []
-                if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS)
+                yield from _record_batches(rows(content.as_py()), _FIELDS)
 
     # an archive of RECORDS_A_FILE records is one value; the scan packs few of them into a task
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -164,52 +187,54 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(found: DataFrame) -> DataFrame:
-    """One row per record: segments joined in order, with error where they do not fit together."""
-    whole = found.filter(F.col("segment").isNull()).drop("segment", "total").withColumn("error", F.lit(None).cast("string"))
+    """One row per record: blocks in order, with error where they do not fit together. Segments are grouped by origin."""
+    whole = found.filter(F.col("segment").isNull()).withColumn("blocks", F.array("block")).drop("segment", "total", "block").withColumn("error", F.lit(None).cast("string"))
     parts = F.sort_array(F.collect_list(F.struct("segment", "block")))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
+    length = F.aggregate("blocks", F.lit(0).cast("long"), lambda acc, b: acc + F.octet_length(b))
     joined = (
         found.filter(F.col("segment").isNotNull())
         .dropDuplicates(["id", "segment"])
         .groupBy("id")
-        .agg(*[first(c) for c in ("kind", "uri", "refers", "digest", "stated")], F.max("total").alias("total"), parts.alias("parts"))
-        .withColumn("block", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), "")))
+        .agg(*[first(c) for c in ("kind", "uri", "refers", "digest", "stated", "copies")], F.max("total").alias("total"), parts.alias("parts"))
+        .withColumn("blocks", F.transform("parts", lambda p: p["block"]))
         .withColumn("gap", F.exists(F.transform("parts", lambda p, i: p["segment"] != i + 1), lambda g: g))
-        .withColumn("error", F.when(F.col("gap") | F.col("total").isNull(), "missing segment").when(F.octet_length("block") != F.col("total"), "wrong total length"))
+        .withColumn("error", F.when(F.col("gap") | F.col("total").isNull(), "missing segment").when(length != F.col("total"), "wrong total length"))
     )
     return whole.unionByName(joined.select(*whole.columns))
 
 
+_PAYLOADS = pa.schema([("id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("copies", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+
+
+def _payload(r: dict) -> tuple:
+    payload, error = None, r["error"]
+    stated = (r["digest"] or "").removeprefix("sha1:")
+    if error is None and r["kind"] == "response":
+        try:
+            head, _, body = b"".join(r["blocks"]).partition(SEP)
+            payload = unframe(body) if b"transfer-encoding: chunked" in head.lower() else body
+            if stated and hashlib.sha1(payload).hexdigest() != stated:
+                payload, error = None, "wrong digest"
+        except ValueError as broken:
+            error = f"broken framing: {broken}"
+    # stated values stand in for a revisit's only: what is not read back is not reported
+    trusted = r["kind"] == "revisit" and error is None
+    n = len(payload) if payload is not None else r["stated"] if trusted else None
+    digest = hashlib.sha1(payload).hexdigest() if payload is not None else (stated or None) if trusted else None
+    return r["id"], r["uri"], r["kind"], r["refers"], n, digest, r["copies"] or 1, payload, error
+
+
 def payloads(found: DataFrame) -> DataFrame:
-    """id, uri, record_type, refers_to (identifier), payload_bytes, payload_digest, payload, error; a revisit has no payload of its own."""
-    schema = pa.schema([("id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+    """id, uri, record_type, refers_to (identifier), payload_bytes, payload_digest, copies, payload, error; a revisit has no payload of its own."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                payload, error = None, r["error"]
-                stated = (r["digest"] or "").removeprefix("sha1:")
-                if error is None and r["kind"] == "response":
-                    try:
-                        head, _, body = r["block"].partition(SEP)
-                        payload = unframe(body) if b"transfer-encoding: chunked" in head.lower() else body
-                        if stated and hashlib.sha1(payload).hexdigest() != stated:
-                            payload, error = None, "wrong digest"
-                    except ValueError as broken:
-                        error = f"broken framing: {broken}"
-                # stated values stand in for a revisit's only: what is not read back is not reported
-                trusted = r["kind"] == "revisit" and error is None
-                n = len(payload) if payload is not None else r["stated"] if trusted else None
-                digest = hashlib.sha1(payload).hexdigest() if payload is not None else (stated or None) if trusted else None
-                rows.append((r["id"], r["uri"], r["kind"], r["refers"], n, digest, payload, error))
-                if len(rows) == 256:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return found.select("id", "kind", "uri", "refers", "digest", "stated", "block", "error").mapInArrow(run, "id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string")
+            for a in range(0, batch.num_rows, _BATCH):
+                yield from _record_batches(map(_payload, batch.slice(a, _BATCH).to_pylist()), _PAYLOADS)
+
+    ddl = "id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, copies long, payload binary, error string"
+    return found.select("id", "kind", "uri", "refers", "digest", "stated", "copies", "blocks", "error").mapInArrow(run, ddl)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -220,20 +245,21 @@ def op6_warc(spark, sf_dir):
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     back = read_archives(spark, path).filter(F.col("record_type").isin("response", "revisit"))
-    number = lambda c: F.substring_index(c, ":", -1).cast("long")
     # a revisit's payload is its response's: length and digest are read from the response
     origin = back.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
     revisits = back.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest", "payload").join(origin, "refers_to", "left").withColumnsRenamed({"n": "payload_bytes", "d": "payload_digest"})
-    columns = ["id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    columns = ["id", "copies", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     both = back.filter("record_type = 'response'").select(*columns).unionByName(revisits.select(*columns))
-    return both.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    number = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS long)")
+    rows = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 ORACLE = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 s AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS last FROM p)
 SELECT page_id, n AS payload_bytes, d AS payload_digest,
-  CASE WHEN n >= {REVISIT} AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= {REVISIT} AND last <> page_id THEN last END AS refers_to
+  CASE WHEN n >= {REVISIT} AND last IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {REVISIT} AND last IS DISTINCT FROM page_id THEN last END AS refers_to
 FROM s
 """
