@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from isobath.llm.shared import table
 
 PAD = 64
-RATE, TARGET = 16_000, 8_000
+RATE, TARGET = 11_025, 8_000
 FRAME, HOP, MELS = 256, 128, 24
 CLIP = 16
 HIGH_DB, LOW_DB = -1.5, -4.0
-BLOCK_FRAMES = 2048
+BLOCK_FRAMES = 256
 HALF = 8
 
 
@@ -76,12 +76,13 @@ class Resampler:
         k = np.arange(-HALF * widest, HALF * widest + 1)
         taps = np.sinc(k / widest) * np.hamming(len(k)) * self.up / widest
         self.reach = HALF * widest // self.up + 1
-        self.phases = []
+        phases = []
         for phase in range(self.up):
             # input i at distance d = n * down / up - i meets tap d * up
             d = np.arange(-self.reach, self.reach + 1) * self.up + phase
             inside = np.abs(d) <= HALF * widest
-            self.phases.append(np.where(inside, taps[np.clip(d, k[0], k[-1]) - k[0]], 0.0)[::-1].copy())
+            phases.append(np.where(inside, taps[np.clip(d, k[0], k[-1]) - k[0]], 0.0)[::-1])
+        self.phases = np.array(phases)
 
     def length(self, n: int) -> int:
         return -(-n * self.up // self.down)
@@ -97,14 +98,10 @@ class Resampler:
             part[a - first : b - first] -= 128.0
             part /= 128.0
         windows = np.lib.stride_tricks.sliding_window_view(part, 2 * self.reach + 1)
-        out = np.empty(stop - start)
-        for k in range(min(self.up, stop - start)):
-            n = start + k
-            at = n * self.down // self.up - self.reach - first
-            some = windows[at :: self.down]
-            count = len(range(k, stop - start, self.up))
-            out[k :: self.up] = some[:count] @ self.phases[n * self.down % self.up]
-        return out
+        n = np.arange(start, stop) * self.down
+        if self.up == 1:
+            return windows[n - self.reach - first] @ self.phases[0]
+        return np.einsum("ij,ij->i", windows[n // self.up - self.reach - first], self.phases[n % self.up])
 
 
 def mel_filters(rate: int, frame: int = FRAME, mels: int = MELS) -> np.ndarray:
@@ -237,4 +234,4 @@ def features(media: DataFrame) -> DataFrame:
 
 def op7_audio_features(spark, sf_dir):
     stored = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", F.size("segments").cast("long").alias("n_segments"))
+    return features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", F.size("segments").cast("long").alias("n_segments"), "segments", "tensors")
