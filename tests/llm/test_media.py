@@ -31,20 +31,22 @@ def test_archives_round_trip(spark, tmp_path):
     warc.write_archives(frame(spark, rows + [rows[0]]), f"{tmp_path}/w", segment=4096)
     got = {r.id: r for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
     assert len(got) == len(rows) and not any(r.error for r in got.values())
+    assert [r.copies for i, r in got.items() if i.startswith("urn:page:1:")] == [2] and sum(r.copies for r in got.values()) == len(rows) + 1
     last = {}
     for i, _, h in rows:
         if len((h or "").encode()) >= warc.REVISIT:
             last[h] = max(i, last.get(h, i))
     for i, _, h in rows:
-        r, raw = got[warc.page_urn(i)], (h or "").encode()
+        raw = (h or "").encode()
+        r = got[warc.page_urn(i, raw)]
         of = last.get(h, i)
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
-        assert (r.record_type, r.refers_to) == (("response", None) if of == i else ("revisit", warc.page_urn(of)))
+        assert (r.record_type, r.refers_to) == (("response", None) if of == i else ("revisit", warc.page_urn(of, raw)))
         assert of != i or bytes(r.payload) == raw
 
 
 def test_broken_segments(spark, tmp_path):
-    parts = warc.records(5, "u", b"y" * 30_000, None, 4096)
+    parts = warc.records("urn:page:5:x", "u", b"y" * 30_000, None, 4096)
     assert len(parts) > 3
 
     def read(some):
@@ -114,7 +116,7 @@ def test_mel_and_segments():
     t = np.arange(16_000) / 16_000
     loud = (128 + 110 * np.sin(2 * np.pi * 1000 * t)).round().astype(np.uint8)
     quiet = np.full(16_000, 128, np.uint8)
-    mel, level = audio.log_mel(np.concatenate([quiet, loud, quiet]))
+    mel, level = audio.log_mel(np.concatenate([quiet, loud, quiet]), 16_000)
     found = audio.segments(level) * audio.HOP / audio.TARGET
     assert len(found) == 1 and abs(found[0, 0] - 1.0) < 0.05 and abs(found[0, 1] - 2.0) < 0.05
     centre = np.argmax(audio.mel_filters(audio.TARGET), axis=0)
@@ -149,7 +151,7 @@ def test_language_of_awkward_rows(spark):
 
 
 def test_broken_records_report_no_stated_values(spark, tmp_path):
-    parts = warc.records(5, "u", b"y" * 30_000, None, 4096)
+    parts = warc.records("urn:page:5:x", "u", b"y" * 30_000, None, 4096)
     for name, some in (("missing", parts[:-1]), ("wrong", [parts[0], parts[1].replace(b"yy", b"yz", 1), *parts[2:]])):
         with gzip.open(tmp_path / f"{name}.gz", "wb") as f:
             f.write(b"".join(p + warc.SEP for p in some))

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from isobath.llm import near_dedup as N
+from isobath.llm import queries
 from isobath.llm.components import connected
 from tests.llm import cases
 
@@ -37,13 +40,46 @@ def test_awkward_rows(spark):
     rows = cases.documents(2)
     got = N.near_duplicates(spark.createDataFrame(rows, cases.SCHEMA)).collect()
     assert len(got) == len(rows)
-    assert [(r.n_shingles, r.component_id) for r in got if r.doc_id in (2000, 2001)] == [(0, 2000), (0, 2001)] or {(r.n_shingles, r.component_id) for r in got if r.doc_id in (2000, 2001)} == {(0, 2000), (0, 2001)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id in (2000, 2001, 2002)} == {i: (0, i) for i in (2000, 2001, 2002)}
     assert [r.component_id for r in got if r.doc_id is None] == [None]
     assert N.near_duplicates(spark.createDataFrame([], cases.SCHEMA)).collect() == []
     kept = N.keep_one(spark.createDataFrame(rows, cases.SCHEMA))
     assert kept.columns == [c.split()[0] for c in cases.SCHEMA.split(", ")]
 
 
+def test_sets_that_differ_by_structure_only(spark):
+    """Thue-Morse words and their complements have different names; so have words with zero bytes behind."""
+    word = lambda n, a, b: "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+    rows = [(k, t) for k, t in enumerate([f(n) for n in (1024, 2048, 4096) for f in (lambda n: word(n, "a", "b"), lambda n: word(n, "b", "a"))] + ["a", "a\0", "a\0\0", "a \0a", "\0 aa"])]
+    got = found(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {k: (1, k) for k, _ in rows} == cases.components(rows, 2)
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_exact_sets_and_sequences(width):
+    rng = random.Random(width)
+    texts = [None, "", " ", "One", "one", "one two", "ONE  two\n", *[" ".join(rng.choice("abcAB") for _ in range(rng.randrange(12))) for _ in range(60)]]
+    raw = [None if t is None else t.encode() for t in texts]
+    sets, want = N.exact_sets(raw, width), [cases.shingles(t, width) for t in texts]
+    for p, x in zip(sets, want, strict=True):
+        assert len(p) == len(x)
+        for q, y in zip(sets, want, strict=True):
+            assert len(np.intersect1d(p, q)) == len(x & y)
+    flat, offsets = N._flat(pa.array(texts, pa.string()))
+    words = [cases.WORD.findall((t or "").translate(cases.LOWER)) for t in texts]
+    assert N.sequences(*N._words(flat, offsets)) == [" ".join(w).encode() for w in words]
+    names, of = N.shingle_names(flat, offsets, width)
+    assert np.diff(of).tolist() == [len(x) for x in want]
+
+
+def test_query_returns_the_contract_columns(spark, tmp_path):
+    rows = cases.unique(cases.documents(7))
+    spark.createDataFrame(rows, cases.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op8_near_dedup"](spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == {i: (n, c, i == c) for i, (n, c) in cases.components(rows, 2).items()}
+
+
 def test_posterior_bounds():
     bounds = N.needed_agreements(160, 32, 0.8, 1e-6)
     assert [k for k, _ in bounds] == [32, 64, 96, 128, 160]
