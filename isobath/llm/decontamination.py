@@ -9,8 +9,8 @@ document against the sketches thus misses nothing, however long the document, wh
 documents would drown a short item. Documents that are too small for an item skip it. Candidates are
 decided on their exact shingles, word by word.
 
-The corpus is scanned once. What is broadcast is a bit table over the sketches' hashes, of 16 bits a hash and
-at most ``most_bits``, however large the benchmark is; a fuller table only lets more rows through to the join of
+The corpus is scanned once. What is broadcast is a Bloom filter of the sketches' hashes, of 64 bits a hash and
+at most ``most_bits``, however large the benchmark is; a fuller one only lets more rows through to the join of
 hashes and sketches, which decides. Documents that show a hash are written once with their hashes; their texts
 meet the texts of their candidates, as a list that no item can enter twice.
 
@@ -36,7 +36,7 @@ from isobath.llm.shared import WORD, materialise, shielded, table
 
 WIDTH = 5
 SHARE = (80, 100)
-BLOCK_BITS, MOST_BITS = 1 << 12, 1 << 29
+BLOCK_BITS, MOST_BITS, BITS_A_KEY, PROBES = 1 << 15, 1 << 29, 64, 6
 _WORD = re.compile(WORD.encode())
 _LOWER = bytes(N.LOWER)
 
@@ -76,21 +76,32 @@ def _sketches(batches, width: int, share):
             yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["item", "n_item", "least", "needed", "key"])
 
 
-def _bit_table(keys: DataFrame, n: int, most_bits: int) -> tuple[int, bytes]:
-    """How many bits, and the table of the keys' low bits: built in blocks on the executors, at most most_bits in all."""
-    bits = max(BLOCK_BITS, min(most_bits, 1 << (16 * max(n, 1) - 1).bit_length()))
-    place = F.col("key").bitwiseAND(F.lit(bits - 1).cast("long"))
-    blocks = keys.select(place.alias("place")).distinct().withColumn("block", F.floor(F.col("place") / BLOCK_BITS))
+def _places(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """Where a probe of a Bloom filter looks for each key."""
+    low, step = keys & S.U(0xFFFFFFFF), (keys >> S.U(32)) | S.U(1)
+    return ((low + S.U(probe) * step) & S.U(bits - 1)).astype(np.int64)
+
+
+def _bloom_filter(keys: DataFrame, n: int, most_bits: int) -> tuple[int, bytes]:
+    """How many bits, and the filter: built in blocks on the executors, at most most_bits in all."""
+    bits = max(BLOCK_BITS, min(most_bits, 1 << (BITS_A_KEY * max(n, 1) - 1).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([_places(own, k, bits) for k in range(PROBES)]))
+            yield pa.record_batch([pa.array(at), pa.array(at // BLOCK_BITS)], names=["place", "block"])
 
     def build(group: pa.Table) -> pa.Table:
         on = np.zeros(BLOCK_BITS, np.uint8)
         on[group["place"].to_numpy() % BLOCK_BITS] = 1
         return pa.table({"block": group["block"].slice(0, 1), "bits": pa.array([np.packbits(on).tobytes()])})
 
-    table_ = bytearray(bits // 8)
-    for r in blocks.groupBy("block").applyInArrow(build, "block long, bits binary").toLocalIterator():
-        table_[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = r.bits
-    return bits, bytes(table_)
+    filled = bytearray(bits // 8)
+    blocks = keys.mapInArrow(places, "place long, block long").distinct().groupBy("block").applyInArrow(build, "block long, bits binary")
+    for r in blocks.toLocalIterator():
+        filled[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = r.bits
+    return bits, bytes(filled)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share=SHARE, most_bits: int = MOST_BITS) -> DataFrame:
@@ -98,7 +109,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").rlike(WORD)).distinct()
     wanted = materialise(wanted.withColumn("item", F.monotonically_increasing_id()), "items")
     sketches = materialise(wanted.select("item", "text").mapInArrow(lambda batches: _sketches(batches, width, share), _ITEM), "sketches")
-    bits, filled = _bit_table(sketches.select("key"), sketches.count(), most_bits)
+    bits, filled = _bloom_filter(sketches.select("key"), sketches.count(), most_bits)
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def probe(batches):
@@ -106,7 +117,9 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share
         for batch in batches:
             for a, _, raw, offsets in N._slices(batch.column("text")):
                 names, of = N.shingle_names(raw, offsets, width)
-                hit = np.flatnonzero(on[(names & S.U(bits - 1)).astype(np.int64)])
+                hit = np.arange(len(names))
+                for k in range(PROBES):
+                    hit = hit[on[_places(names[hit], k, bits)]]
                 doc = np.searchsorted(of, hit, "right") - 1
                 shown, first = np.unique(doc, return_index=True)
                 keys = pa.ListArray.from_arrays(pa.array(np.r_[first, len(hit)].astype(np.int32)), pa.array(names[hit].view(np.int64)))
