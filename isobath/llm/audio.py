@@ -121,7 +121,9 @@ _RESAMPLERS: dict[int, Resampler] = {}
 
 def log_mel(samples: np.ndarray, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
     """(frames, mels) natural-log energies and the frames' level in dB of full scale."""
-    resample = _RESAMPLERS.setdefault(rate, Resampler(rate, TARGET))
+    if rate not in _RESAMPLERS:
+        _RESAMPLERS[rate] = Resampler(rate, TARGET)
+    resample = _RESAMPLERS[rate]
     n = resample.length(len(samples))
     frames = max(1, -(-(n - FRAME) // HOP) + 1)
     mel, level = np.empty((frames, MELS), np.float32), np.empty(frames)
