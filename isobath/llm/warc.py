@@ -244,10 +244,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def op6_warc(spark, sf_dir):
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    back = read_archives(spark, path).filter(F.col("record_type").isin("response", "revisit"))
+    back = materialise(read_archives(spark, path).filter(F.col("record_type").isin("response", "revisit")).drop("payload", "uri", "error"), "records")
     # a revisit's payload is its response's: length and digest are read from the response
     origin = back.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
-    revisits = back.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest", "payload").join(origin, "refers_to", "left").withColumnsRenamed({"n": "payload_bytes", "d": "payload_digest"})
+    revisits = back.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(origin, "refers_to", "left").withColumnsRenamed({"n": "payload_bytes", "d": "payload_digest"})
     columns = ["id", "copies", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     both = back.filter("record_type = 'response'").select(*columns).unionByName(revisits.select(*columns))
     number = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS long)")
