@@ -86,3 +86,10 @@ def hll(m0, q0, e0, u0, p0, m1, q1, e1, u1, p1, gamma=1.4):
         out.append(where(slow >= 0.0, f0, where(fast <= 0.0, f1, middle)))
     return out
 
+
+def debye_length(valences, concentrations, eps=1.0):
+    """Screening length of ions with their bulk concentrations."""
+    from isobath.functions.algebra import sqrt
+
+    strength = sum(z * z * c for z, c in zip(valences, concentrations, strict=True))
+    return sqrt(eps / strength)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isobath.operators.profiles import interpolate
+
 
 def l2(pairs: DataFrame) -> DataFrame:
     d = F.col("p") - F.col("o")
     return pairs.groupBy("pair").agg(F.sum(d * d).alias("misfit"))
 
 
-def peak_offset(before: Column, here: Column, after: Column) -> Column:
+def peak_offset(before, here, after):
     """Vertex of the parabola through three samples."""
     return 0.5 * (before - after) / (before - 2.0 * here + after - 1e-30)
 
@@ -19,29 +21,33 @@ def peak_offset(before: Column, here: Column, after: Column) -> Column:
 def xcorr(pairs: DataFrame, dt: float = 1.0) -> DataFrame:
     """Squared shift of the correlation's peak, refined by a parabola; the earliest of equal peaks.
 
-    All lags of a pair are products of its own samples: a join within the pair, summed map-side.
+    All lags of a pair come from one transform of its samples. A peak at the rim moves one sample inwards; samples up
+    to a 1e-12th of the peak below it count as equal.
     """
-    sums = pairs.select("pair", F.col("t").alias("tp"), "p").join(pairs.select("pair", F.col("t").alias("to"), "o"), "pair").groupBy("pair", (F.col("tp") - F.col("to")).alias("lag")).agg(F.sum(F.col("p") * F.col("o")).alias("r"))
-    order = Window.partitionBy("pair").orderBy("lag")
-    around = sums.withColumn("before", F.lag("r").over(order)).withColumn("after", F.lead("r").over(order)).withColumn("n", F.count("*").over(Window.partitionBy("pair")))
-    inner = around.withColumn("top", F.row_number().over(Window.partitionBy("pair").orderBy(F.col("r").desc(), "lag")))
-    # a peak at the rim moves one sample inwards
-    peak = inner.filter("top = 1").select("pair", F.when(F.col("before").isNull(), F.col("lag") + 1).when(F.col("after").isNull(), F.col("lag") - 1).otherwise(F.col("lag")).alias("lag"))
-    tau = (F.col("lag") + peak_offset(F.col("before"), F.col("r"), F.col("after"))) * dt
-    return around.join(peak, ["pair", "lag"]).select("pair", (tau * tau).alias("misfit"))
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        p, o, n = pdf["p"].to_numpy(float), pdf["o"].to_numpy(float), len(pdf)
+        size = 1 << (2 * n - 1).bit_length()
+        r = np.fft.irfft(np.fft.rfft(p, size) * np.conj(np.fft.rfft(o, size)), size)
+        r = np.concatenate([r[size - n + 1 :], r[:n]])
+        k = int(np.flatnonzero(r >= r.max() - 1e-12 * np.abs(r).max())[0])
+        k = min(max(k, 1), max(len(r) - 2, 1))
+        if len(r) < 3:
+            return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "misfit": [None]}, dtype=object)
+        tau = (k - (n - 1) + peak_offset(r[k - 1], r[k], r[k + 1])) * dt
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "misfit": [tau * tau]})
+
+    return pairs.groupBy("pair").applyInPandas(run, "pair long, misfit double")
 
 
 def quantiles(density: DataFrame, at: DataFrame, dt: float) -> DataFrame:
-    """(pair, u, q): where the cumulated density of (pair, t, d) passes each u of at, linear between samples."""
-    order = Window.partitionBy("pair").orderBy("t")
-    cdf = density.withColumn("c", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    steps = cdf.select("pair", "t", F.lag("c").over(order).alias("c0"), "c", F.min("t").over(Window.partitionBy("pair")).alias("first"), F.max("t").over(Window.partitionBy("pair")).alias("last"))
-    steps = steps.filter("c0 is not null")
-    low = F.when(F.col("t") == F.col("first") + 1, F.lit(-1.0)).otherwise(F.col("c0"))
-    high = F.when(F.col("t") == F.col("last"), F.lit(2.0)).otherwise(F.col("c"))
-    hit = steps.withColumn("low", low).withColumn("high", high).join(at, "pair").filter("u > low and u <= high")
-    part = F.least(F.greatest((F.col("u") - F.col("c0")) / (F.col("c") - F.col("c0") + 1e-30), F.lit(0.0)), F.lit(1.0))
-    return hit.select("pair", "u", ((F.col("t") - 1 + part) * dt).alias("q"))
+    """(pair, u, q): where the cumulated density of (pair, t, d) passes each u of at, linear between samples, clamped at the ends."""
+    order = Window.partitionBy("pair").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    cdf = density.select("pair", F.sum("d").over(order).alias("u"), (F.col("t") * dt).alias("q"))
+    return interpolate(cdf, at, "pair", "u", "q")
 
 
 def wasserstein(pairs: DataFrame, dt: float = 1.0) -> DataFrame:

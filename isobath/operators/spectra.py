@@ -14,23 +14,22 @@ def lines_table(spark: SparkSession, rows, first: str) -> DataFrame:
     return spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join([f"{first} double", *[f"c{i + 1} double" for i in range(n)]]))
 
 
-def gaseous(air: DataFrame, oxygen: DataFrame, vapour: DataFrame) -> DataFrame:
+def gaseous(air: DataFrame, oxygen=atmosphere.OXYGEN_LINES, vapour=atmosphere.VAPOUR_LINES) -> DataFrame:
     """air (obs_id, f_ghz, p_hpa, e_hpa, t_k) to oxygen_db, vapour_db, total_db per km.
 
-    Lines are a parameter; a spectral table has at most hundreds of rows, so it is broadcast.
+    A projection: the lines, a parameter of at most hundreds of rows, are a literal array that each row folds over.
+    Rows with a null input stay, with nulls; repeated rows stay.
     """
-    base = air.select("obs_id", "f_ghz", "p_hpa", "e_hpa", (F.lit(300.0) / F.col("t_k")).alias("theta"))
-    args = [F.col(c) for c in ("f_ghz", "p_hpa", "e_hpa", "theta")]
-
-    def summed(lines: DataFrame, shape, name: str) -> DataFrame:
-        line = [F.col(c) for c in lines.columns]
-        return base.crossJoin(F.broadcast(lines)).groupBy("obs_id", "f_ghz", "p_hpa", "e_hpa", "theta").agg(F.sum(shape(*args, line)).alias(name))
-
-    key = ["obs_id", "f_ghz", "p_hpa", "e_hpa", "theta"]
-    both = summed(oxygen, atmosphere.oxygen_line, "o").join(summed(vapour, atmosphere.vapour_line, "w"), key)
-    dry = atmosphere.specific(F.col("f_ghz"), F.col("o") + atmosphere.dry_continuum(*args))
-    wet = atmosphere.specific(F.col("f_ghz"), F.col("w"))
-    return both.select("obs_id", dry.alias("oxygen_db"), wet.alias("vapour_db"), (dry + wet).alias("total_db"))
+    args = [F.col(c).cast("double") for c in ("f_ghz", "p_hpa", "e_hpa")] + [F.lit(300.0) / F.col("t_k")]
+
+    def summed(lines, shape):
+        n = len(lines[0])
+        table = F.array(*[F.struct(*[F.lit(float(x)).alias(f"c{i}") for i, x in enumerate(line)]) for line in lines])
+        return F.aggregate(table, F.lit(0.0), lambda acc, line: acc + shape(*args, [line[f"c{i}"] for i in range(n)]))
+
+    dry = atmosphere.specific(args[0], summed(oxygen, atmosphere.oxygen_line) + atmosphere.dry_continuum(*args))
+    wet = atmosphere.specific(args[0], summed(vapour, atmosphere.vapour_line))
+    return air.select("obs_id", dry.alias("oxygen_db"), wet.alias("vapour_db")).withColumn("total_db", F.col("oxygen_db") + F.col("vapour_db"))
 
 
 def rain_attenuation(rain: DataFrame, table: DataFrame, polarisation: str = "h") -> DataFrame:

@@ -75,15 +75,26 @@ SELECT series, t, round(mean, 6) AS mean, round(variance, 6) AS variance FROM f"
 
 
 def _smooth(spark, sf_dir):
-    """Each trace as readings of one relaxing quantity: q, r and the likelihood by EM, smoothed means."""
+    """Each trace as readings of one relaxing quantity: a pass forth and back, and the variances that EM draws from it."""
     import numpy as np
 
     s = _series(spark, sf_dir).select("series", "t", F.array("y").alias("y"))
-    out = inference.fit_state_space(s, dynamics.Evolution(np.array([[-0.05]]), "exact"), 1.0, most=10)
-    return out.select("series", "t", F.round(F.col("mean")[0], 4).alias("mean"), F.round(F.col("variance")[0], 4).alias("variance"), F.round("loglik", 3).alias("loglik"))
+    out = inference.fit_state_space(s, dynamics.Evolution(np.array([[-0.05]]), "exact"), 1.0, most=1)
+    numbers = {"loglik": "loglik", "process_var": "process_var", "observation_var": "observation_var"}
+    return out.select("series", "t", F.round(F.col("mean")[0], 4).alias("mean"), F.round(F.col("variance")[0], 4).alias("variance"), *[F.round(c, 3).alias(n) for n, c in numbers.items()])
 
 
 QUERIES["kalman_smooth"] = _smooth
+ORACLES["kalman_smooth"] = f"""WITH RECURSIVE s AS (SELECT trace_id AS series, t_idx AS t, y, greatest(var_pop(y) OVER (PARTITION BY trace_id), 1e-6) AS v, count(*) OVER (PARTITION BY trace_id) AS n FROM {_TRACE} q),
+f(series, t, n, y, v, xp, pp, x, p) AS (
+  SELECT series, t, n, y, v, xp, pp, xp + pp / (pp + 5e-1 * v) * (y - xp), (1 - pp / (pp + 5e-1 * v)) * pp FROM (SELECT *, exp(-5e-2) * y AS xp, exp(-1e-1) * v + 1e-1 * v AS pp FROM s WHERE t = 0) a
+  UNION ALL SELECT series, t, n, y, v, xp, pp, xp + pp / (pp + 5e-1 * v) * (y - xp), (1 - pp / (pp + 5e-1 * v)) * pp FROM (SELECT s.series, s.t, s.n, s.y, s.v, exp(-5e-2) * f.x AS xp, exp(-1e-1) * f.p + 1e-1 * s.v AS pp FROM f JOIN s ON s.series = f.series AND s.t = f.t + 1) a),
+b(series, t, xs, ps, lag) AS (
+  SELECT series, t, x, p, 0e0 FROM f WHERE t = n - 1
+  UNION ALL SELECT f.series, f.t, f.x + exp(-5e-2) * f.p / g.pp * (b.xs - g.xp), f.p + power(exp(-5e-2) * f.p / g.pp, 2) * (b.ps - g.pp), exp(-5e-2) * f.p / g.pp * b.ps FROM b JOIN f ON f.series = b.series AND f.t = b.t - 1 JOIN f g ON g.series = b.series AND g.t = b.t),
+w AS (SELECT b.*, f.n, f.y, ps + xs * xs AS now, lag(ps + xs * xs) OVER o AS before, lag(lag) OVER o + xs * lag(xs) OVER o AS crossed, -5e-1 * (ln(2 * pi()) + ln(pp + 5e-1 * v) + (y - xp) * (y - xp) / (pp + 5e-1 * v)) AS like_ FROM b JOIN f USING (series, t) WINDOW o AS (PARTITION BY b.series ORDER BY b.t)),
+m AS (SELECT series, sum(like_) AS loglik, greatest(sum(now - 2 * exp(-5e-2) * crossed + exp(-1e-1) * before) / (max(n) - 1), 1e-10) AS q, greatest(sum((y - xs) * (y - xs) + ps) / max(n), 1e-10) AS r FROM w GROUP BY series)
+SELECT series, t, round(xs, 4) AS mean, round(ps, 4) AS variance, round(loglik, 3) AS loglik, round(q, 3) AS process_var, round(r, 3) AS observation_var FROM b JOIN m USING (series)"""
 
 
 def _ode(spark, sf_dir):

@@ -102,18 +102,25 @@ SELECT pair, round(avg((qp.q - qo.q) * (qp.q - qo.q)), 5) AS misfit FROM qp JOIN
 QUERIES["envelope_misfit"] = lambda spark, sf_dir: rounded(misfits.misfit(_pairs(spark, sf_dir), "envelope"), 4, "misfit")
 
 
+ORACLES["envelope_misfit"] = f"""WITH {_PAIRS}, c AS (SELECT *, count(*) OVER (PARTITION BY pair) AS n FROM pr),
+x AS (SELECT a.pair, a.t, a.n, a.p, a.o, b.p AS ps, b.o AS os, pi() * (a.t - b.t) / a.n AS x, (a.n - 1) // 2 AS top FROM c a JOIN c b USING (pair)),
+h AS (SELECT pair, t, p, o, sum(ps * w) AS hp, sum(os * w) AS ho FROM (SELECT *, CASE WHEN x = 0 THEN 0e0 ELSE 2e0 / n * sin(top * x) * sin((top + 1) * x) / sin(x) END AS w FROM x) q GROUP BY pair, t, p, o)
+SELECT pair, round(sum(power(sqrt(p * p + hp * hp) - sqrt(o * o + ho * ho), 2)), 4) AS misfit FROM h GROUP BY pair"""
+
+
 def _poisson(spark, sf_dir):
-    """-u'' = f on each trace's samples with u = 0 beyond both ends; the residual must vanish."""
+    """-u'' = f on each trace's samples with u = 0 beyond both ends."""
     p = packed(spark, sf_dir)
     n = F.size("u")
     p = p.withColumn("lo", F.transform("u", lambda _x, i: F.when(i > 0, -1.0).otherwise(0.0))).withColumn("di", F.transform("u", lambda _x: F.lit(2.0))).withColumn("up", F.transform("u", lambda _x, i: F.when(i < n - 1, -1.0).otherwise(0.0)))
     solved = p.withColumn("x", steppers.thomas(F.col("u"), F.col("lo"), F.col("di"), F.col("up")))
-    err = F.aggregate(F.transform("x", lambda v, i: F.abs(2.0 * v - F.coalesce(F.get("x", i - 1), F.lit(0.0)) - F.coalesce(F.get("x", i + 1), F.lit(0.0)) - F.get("u", i))), F.lit(0.0), lambda a, b: F.greatest(a, b))
-    return solved.select("trace_id", n.cast("long").alias("n"), (err < 1e-9).alias("solved"))
+    long = solved.select("trace_id", F.posexplode("x").alias("i", "v"))
+    return long.select("trace_id", F.col("i").cast("long").alias("i"), F.round("v", 7).alias("u"))
 
 
 QUERIES["poisson_1d"] = _poisson
-ORACLES["poisson_1d"] = f"SELECT trace_id, CAST(count(*) AS BIGINT) AS n, TRUE AS solved FROM {_TRACE} v GROUP BY trace_id"
+ORACLES["poisson_1d"] = f"""WITH t AS (SELECT trace_id, t_idx + 1 AS i, y / 500e0 AS f, count(*) OVER (PARTITION BY trace_id) + 1 AS m FROM {_TRACE} v)
+SELECT a.trace_id, a.i - 1 AS i, round(sum(b.f * least(a.i, b.i) * (a.m - greatest(a.i, b.i)) / a.m), 7) AS u FROM t a JOIN t b USING (trace_id) GROUP BY a.trace_id, a.i"""
 
 
 def _mt(spark, sf_dir):

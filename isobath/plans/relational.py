@@ -63,8 +63,7 @@ FROM a JOIN o USING (obs_id) JOIN w USING (obs_id)""",
 )
 def gaseous_attenuation(spark, sf_dir):
     air = view(spark, sf_dir, "air").withColumn("e_hpa", atmosphere.vapour_pressure(F.col("humidity"), F.col("t_k") - 273.15))
-    out = spectra.gaseous(air, spectra.lines_table(spark, atmosphere.OXYGEN_LINES, "f0"), spectra.lines_table(spark, atmosphere.VAPOUR_LINES, "f0"))
-    return rounded(out, 6, "oxygen_db", "vapour_db", "total_db")
+    return rounded(spectra.gaseous(air), 6, "oxygen_db", "vapour_db", "total_db")
 
 
 @query(

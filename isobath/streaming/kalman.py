@@ -41,17 +41,11 @@ def filter_stream(stream: DataFrame, a: float = 1.0, q: float = 1.0, r: float =
 
 
 def filter_batch(traces: DataFrame, a: float = 1.0, q: float = 1.0, r: float = 1.0) -> DataFrame:
-    """The same filter over a table, as a fold over each series' sorted array; no Python."""
-    packed = traces.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("s"))
-
-    def step(acc, row):
-        first = F.struct(row["t"].alias("t"), row["y"].alias("mean"), F.lit(float(r)).alias("variance"))
-        last = F.element_at(acc, -1)
-        var = a * a * last["variance"] + q
-        gain = var / (var + r)
-        then = F.struct(row["t"].alias("t"), (a * last["mean"] + gain * (row["y"] - a * last["mean"])).alias("mean"), ((1.0 - gain) * var).alias("variance"))
-        return F.concat(acc, F.array(F.when(F.size(acc) == 0, first).otherwise(then)))
-
-    empty = F.array().cast("array<struct<t: bigint, mean: double, variance: double>>")
-    folded = packed.select("series", F.aggregate("s", empty, step).alias("f"))
-    return folded.select("series", F.explode("f").alias("f")).select("series", "f.t", "f.mean", "f.variance")
+    """The same filter over a table: a fold over each series in order of t, linear in its length."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        out, _ = scalar_filter(zip(pdf["t"], pdf["y"], strict=True), None, a, q, r)
+        return pd.DataFrame([(pdf["series"].iloc[0], *o) for o in out], columns=["series", "t", "mean", "variance"])
+
+    return traces.select("series", "t", "y").groupBy("series").applyInPandas(run, OUTPUT)

@@ -14,7 +14,6 @@ from isobath.sources import environment
 from isobath.streaming import kalman
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"kalman_smooth"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +31,7 @@ def normal(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, DATA)
     rows = [tuple(r[c] for c in sorted(got.columns)) for r in got.collect()]
