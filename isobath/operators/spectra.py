@@ -17,19 +17,21 @@ def lines_table(spark: SparkSession, rows, first: str) -> DataFrame:
 def gaseous(air: DataFrame, oxygen=atmosphere.OXYGEN_LINES, vapour=atmosphere.VAPOUR_LINES) -> DataFrame:
     """air (obs_id, f_ghz, p_hpa, e_hpa, t_k) to oxygen_db, vapour_db, total_db per km.
 
-    A projection: the lines, a parameter of at most hundreds of rows, are a literal array that each row folds over.
-    Rows with a null input stay, with nulls; repeated rows stay.
+    The lines, a parameter of at most hundreds of rows, meet every row, and their shares add up in the same task before
+    one exchange of a row each. Rows with a null input stay, with nulls; repeated rows stay.
     """
-    args = [F.col(c).cast("double") for c in ("f_ghz", "p_hpa", "e_hpa")] + [F.lit(300.0) / F.col("t_k")]
-
-    def summed(lines, shape):
-        n = len(lines[0])
-        table = F.array(*[F.struct(*[F.lit(float(x)).alias(f"c{i}") for i, x in enumerate(line)]) for line in lines])
-        return F.aggregate(table, F.lit(0.0), lambda acc, line: acc + shape(*args, [line[f"c{i}"] for i in range(n)]))
-
-    dry = atmosphere.specific(args[0], summed(oxygen, atmosphere.oxygen_line) + atmosphere.dry_continuum(*args))
-    wet = atmosphere.specific(args[0], summed(vapour, atmosphere.vapour_line))
-    return air.select("obs_id", dry.alias("oxygen_db"), wet.alias("vapour_db")).withColumn("total_db", F.col("oxygen_db") + F.col("vapour_db"))
+    width = max(len(x) for x in (*oxygen, *vapour))
+    rows = [(kind, *map(float, x), *[0.0] * (width - len(x))) for kind, lines in ((True, oxygen), (False, vapour)) for x in lines]
+    lines = air.sparkSession.createDataFrame(rows, ", ".join(["dry boolean", *[f"c{i} double" for i in range(width)]]))
+    given = ["obs_id", "f_ghz", "p_hpa", "e_hpa", "theta"]
+    base = air.select(*given[:4], (F.lit(300.0) / F.col("t_k")).alias("theta")).withColumn("row", F.monotonically_increasing_id())
+    args = [F.col(c) for c in given[1:]]
+    line = [F.col(f"c{i}") for i in range(width)]
+    shares = [F.sum(F.when(F.col("dry") == is_dry, shape(*args, line[:n]))) for is_dry, shape, n in ((True, atmosphere.oxygen_line, len(oxygen[0])), (False, atmosphere.vapour_line, len(vapour[0])))]
+    summed = base.crossJoin(F.broadcast(lines)).groupBy("row").agg(*[F.first(c).alias(c) for c in given], shares[0].alias("o"), shares[1].alias("w"))
+    dry = atmosphere.specific(F.col("f_ghz"), F.col("o") + atmosphere.dry_continuum(*args))
+    wet = atmosphere.specific(F.col("f_ghz"), F.col("w"))
+    return summed.select("obs_id", dry.alias("oxygen_db"), wet.alias("vapour_db"), (dry + wet).alias("total_db"))
 
 
 def rain_attenuation(rain: DataFrame, table: DataFrame, polarisation: str = "h") -> DataFrame:
