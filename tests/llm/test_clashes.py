@@ -99,8 +99,9 @@ def test_pipeline_stages(spark, tables, tmp_path):
 def test_shared_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
     from isobath.llm import shared
 
+    before = spark.conf.get("spark.checkpoint.dir", None)
     own = shared.shared_dir(spark)
-    assert own == shared.shared_dir(spark) and spark.conf.get("spark.checkpoint.dir", None) is None
+    assert own == shared.shared_dir(spark) and spark.conf.get("spark.checkpoint.dir", None) == before and own == (before or own)
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *_, real=type(spark.conf).get: f"file://{tmp_path}/set/" if key == "spark.checkpoint.dir" else real(self, key, *_))
     assert shared.shared_dir(spark) == f"file://{tmp_path}/set"
     with shared.scratch(spark):
