@@ -70,6 +70,29 @@ def top_tiles(points: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).select("obs_id", "cell_id", F.col("rank").cast("long").alias("rank"), F.sqrt("s").alias("distance"))
 
 
+def prior(cells: DataFrame, sd: float = 1.0) -> DataFrame:
+    """(i, mean, variance) of an independent Gaussian belief about each cell."""
+    return cells.select(F.col("cell_id").alias("i"), F.lit(0.0).alias("mean"), F.lit(float(sd) ** 2).alias("variance"))
+
+
+def tile_readings(keys: DataFrame, cells: DataFrame, radius: float, value: str, fidelity: str = "coarse", sd: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Evidence (name, row, i, h, r) and readings (name, row, y) of the tiles whose centres are keys' cell_id.
+
+    coarse reads a tile's mean (deviation 1 by default), fine each of its cells (0.05). A tile asked for twice is read once.
+    """
+    if fidelity not in ("coarse", "fine"):
+        raise ValueError("fidelity must be coarse or fine")
+    centres = cells.join(keys.select("cell_id").distinct(), "cell_id", "left_semi")
+    members = near(centres, cells, radius).join(cells.select(F.col("cell_id").alias("b"), F.col(value).alias("v")), "b")
+    r = F.lit(float((1.0 if fidelity == "coarse" else 0.05) if sd is None else sd) ** 2).alias("r")
+    if fidelity == "fine":
+        rows = members.select(F.lit("raw").alias("name"), F.concat_ws(":", "a", "b").alias("row"), F.col("b").alias("i"), F.lit(1.0).alias("h"), r, F.col("v").alias("y"))
+        return rows.drop("y"), rows.select("name", "row", "y")
+    means = members.groupBy("a").agg(F.avg("v").alias("y"), F.count("*").alias("n"))
+    named = [F.lit("mean").alias("name"), F.col("a").cast("string").alias("row")]
+    return members.join(means, "a").select(*named, F.col("b").alias("i"), (1.0 / F.col("n")).alias("h"), r), means.select(*named, "y")
+
+
 def ray_lengths(rays: DataFrame, shape: tuple[int, int], spacing: float, points: int = 64) -> DataFrame:
     """rays (ray, x0, y0, x1, y1) to (ray, cell, length): points along a ray, each in its nearest cell."""
     k = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")

@@ -145,3 +145,10 @@ def fuse(mean: np.ndarray, cov: np.ndarray, lam: np.ndarray, eta: np.ndarray) ->
     """Posterior of a Gaussian prior and the summed information of its evidence."""
     posterior = np.linalg.inv(np.linalg.inv(cov) + lam)
     return posterior @ (np.linalg.solve(cov, mean) + eta), posterior
+
+
+def pointwise(prior: DataFrame, evidence: DataFrame, readings: DataFrame) -> DataFrame:
+    """(i, mean, variance) after evidence each reading of which sees one cell: sums per cell, no matrix."""
+    seen = evidence.join(readings, ["name", "row"]).groupBy("i").agg(F.sum(F.col("h") * F.col("h") / F.col("r")).alias("lambda"), F.sum(F.col("h") * F.col("y") / F.col("r")).alias("eta"))
+    variance = 1.0 / (1.0 / F.col("variance") + F.coalesce("lambda", F.lit(0.0)))
+    return prior.join(seen, "i", "left").select("i", (variance * (F.col("mean") / F.col("variance") + F.coalesce("eta", F.lit(0.0)))).alias("mean"), variance.alias("variance"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from isobath.functions import potential
 from isobath.functions.algebra import Sql
-from isobath.operators import dynamics, fields, inference
-from isobath.plans.relational import _pairs_sql, rounded
+from isobath.operators import dynamics, fields, inference, joint
+from isobath.plans.relational import RADIUS, _near, _pairs_sql, rounded
 from isobath.plans.views import view, view_sql
 from isobath.streaming import kalman
 from pyspark.sql import Window
@@ -114,3 +114,44 @@ def _ode(spark, sf_dir):
 
 QUERIES["ode_decay"] = _ode
 ORACLES["ode_decay"] = f"SELECT obs_id, t, round(size * exp(-(1e-1 + 4e-1 * phi) * t), 4) AS y FROM {view_sql('rock')} v, (VALUES (1e0), (2e0), (4e0)) AS q(t)"
+
+
+def _tile_posterior(spark, sf_dir):
+    """The cells' density after the tiles nearest to the stations were read cell by cell."""
+    cells = view(spark, sf_dir, "cell")
+    asked = fields.nearest(view(spark, sf_dir, "station"), cells)
+    out = inference.pointwise(fields.prior(cells, 200.0), *fields.tile_readings(asked, cells, RADIUS, "rho", "fine", 100.0))
+    return rounded(out.withColumnRenamed("i", "cell_id"), 6, "mean", "variance").withColumn("mean", F.col("mean") + 0.0)
+
+
+QUERIES["tile_posterior"] = _tile_posterior
+ORACLES["tile_posterior"] = f"""WITH c AS (SELECT * FROM {view_sql('cell')} v), s AS (SELECT * FROM {view_sql('station')} v),
+q AS (SELECT DISTINCT cell_id FROM (SELECT b.cell_id, row_number() OVER (PARTITION BY a.obs_id ORDER BY {_near}, b.cell_id) AS rn FROM s a, c b) n WHERE rn = 1),
+k AS (SELECT b.cell_id, count(*) AS n FROM q JOIN c a USING (cell_id), c b WHERE {_near} <= {RADIUS}e0 GROUP BY b.cell_id)
+SELECT CAST(c.cell_id AS BIGINT) AS cell_id, round(coalesce(n, 0) * rho / 1e4 / (1 / 4e4 + coalesce(n, 0) / 1e4), 6) + 0e0 AS mean, round(1 / (1 / 4e4 + coalesce(n, 0) / 1e4), 6) AS variance FROM c LEFT JOIN k ON k.cell_id = c.cell_id"""
+
+#: One Runge-Kutta step of u' = -k u over h is a factor, here with its derivative by k; h is 0.05.
+_STEP = "(1 - 5e-2 * p + power(5e-2 * p, 2) / 2 - power(5e-2 * p, 3) / 6 + power(5e-2 * p, 4) / 24)"
+_STEP_BY_RATE = "(-5e-2 * (1 - 5e-2 * p + power(5e-2 * p, 2) / 2 - power(5e-2 * p, 3) / 6))"
+
+
+def _joint_fit(spark, sf_dir):
+    """A rate seen through a decay that is integrated and through a line, found for every value of p at once."""
+
+    def build(pdf):
+        pdf = pdf.sort_values("n")
+        rate = joint.Unknown("rate", support="positive", start=0.8)
+        decay = joint.Observation(pdf["y"].to_numpy(), [rate], rhs=lambda u, t, p, ops: -p.rate * u, y0=[1.0], times=pdf["n"].to_numpy() * 0.05, observe=lambda u, p, ops: u[:, 0], scale=0.05)
+        line = joint.Observation(pdf["line"].to_numpy()[:3], [rate], forward=lambda p, ops: p.rate * pdf["n"].to_numpy()[:3], scale=0.1)
+        return [decay, line]
+
+    scenes = view(spark, sf_dir, "scene")
+    rows = scenes.select("p").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(40)))).selectExpr("p", "n", f"power(cast({_STEP} as double), n) AS y", "p * n AS line")
+    found = joint.fit_groups(rows, "p", build)
+    return scenes.join(found, "p").select("obs_id", F.round("mean", 6).alias("rate"), F.round("sd", 7).alias("rate_sd"), F.round("loglik", 4).alias("loglik"))
+
+
+QUERIES["joint_fit"] = _joint_fit
+ORACLES["joint_fit"] = f"""WITH s AS (SELECT * FROM {view_sql('scene')} v), k AS (SELECT DISTINCT p FROM s),
+j AS (SELECT p, sum(power(n * power({_STEP}, n - 1) * {_STEP_BY_RATE}, 2)) / 25e-4 + 5e0 / 1e-2 AS precision_ FROM k, range(1, 41) AS q(n) GROUP BY p)
+SELECT obs_id, round(p, 6) AS rate, round(1 / sqrt(precision_), 7) AS rate_sd, round(-41 * (ln(5e-2) + 5e-1 * ln(2 * pi())) - 3 * (ln(1e-1) + 5e-1 * ln(2 * pi())), 4) AS loglik FROM s JOIN j USING (p)"""
