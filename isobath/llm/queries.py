@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.llm import audio, chat, decontamination, language_id, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, warc
+from isobath.llm import audio, chat, decontamination, importance, language_id, line_dedup, mixing, near_dedup, periodic_runs, substring_dedup, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op7_audio_features": audio.op7_audio_features,
@@ -15,6 +15,9 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_importance_resampling": importance.op12_importance_resampling,
+    "op13_url_filters": url_filter.op13_url_filters,
 }
 ORACLES = {
     "op6_warc": warc.ORACLE,
@@ -22,4 +25,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
+    "op13_url_filters": url_filter.ORACLE,
 }

@@ -173,9 +173,9 @@ def word_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple
     return out
 
 
-def words(raw: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a buffer whose documents end at ``inner``."""
-    w = ~SPACE[raw]
+def words(raw: np.ndarray, inner: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a buffer whose documents end at ``inner``; apart: which bytes separate words."""
+    w = ~apart[raw]
     before, after = np.empty(len(w), bool), np.empty(len(w), bool)
     before[:1], before[1:] = False, w[:-1]
     after[-1:], after[:-1] = False, w[1:]
