@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from isobath.plans import closed_forms, estimates, marches, relational, scenarios
+from isobath.plans import closed_forms, estimates, files, marches, relational, scenarios
 
-QUERIES = {**closed_forms.QUERIES, **relational.QUERIES, **marches.QUERIES, **estimates.QUERIES, **scenarios.QUERIES}
-ORACLES = {**closed_forms.ORACLES, **relational.ORACLES, **marches.ORACLES, **estimates.ORACLES, **scenarios.ORACLES}
+_MODULES = (closed_forms, relational, marches, estimates, scenarios, files)
+QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

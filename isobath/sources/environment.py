@@ -1,7 +1,8 @@
 """Environmental inputs: rasters, depth and pressure profiles, elevation models.
 
-Tables are read by Spark with the window pushed to the scan. netCDF, GRIB and GeoTIFF files need a reader
-package that may be missing; the error then names the extra to install. Files are never downloaded.
+Tables are read by Spark with the window pushed to the scan, classic netCDF by the data source of ``netcdf``.
+netCDF-4, GRIB and GeoTIFF files need a reader package that may be missing; the error then names the extra to install.
+Files are never downloaded.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isobath.sources import netcdf
+
 _READERS = {".nc": ("xarray", "netcdf"), ".grib": ("cfgrib", "grib"), ".grb": ("cfgrib", "grib"), ".tif": ("rasterio", "raster"), ".tiff": ("rasterio", "raster")}
 
 
@@ -42,7 +45,9 @@ def _decoded(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A columnar table, or a decoded file by its suffix."""
+    """A columnar table, or a decoded file by its suffix; classic netCDF needs no reader package."""
+    if _suffix(path) == ".nc" and netcdf.is_classic(path):
+        return netcdf.read(spark, path).select(*[c.split()[0] for c in schema.split(", ")])
     return _decoded(spark, path, schema) if _suffix(path) in _READERS else spark.read.parquet(path)
 
 
@@ -51,6 +56,16 @@ def raster_window(raster: DataFrame, lon: tuple[float, float], lat: tuple[float,
     return raster.filter(F.col("lon").between(*lon) & F.col("lat").between(*lat))
 
 
+def raster_file(spark: SparkSession, path: str, lon: tuple[float, float], lat: tuple[float, float], variable: str = "elevation") -> DataFrame:
+    """(lon, lat, elevation) of a window of a classic netCDF raster; only the window's bytes are read."""
+    return netcdf.raster(spark, path, lon, lat, variable)
+
+
+def profile_file(spark: SparkSession, path: str, lon: float, lat: float, variable: str, vertical: str, time: float | None = None) -> DataFrame:
+    """The profile of a classic netCDF grid nearest to a point and, if given, a time, ascending."""
+    return netcdf.profile(spark, path, lon, lat, variable, vertical, time)
+
+
 def nearest_labels(table: DataFrame, at: dict[str, float]) -> DataFrame:
     """Rows whose coordinates are the nearest labels to the given ones, each axis by itself, the smaller of two."""
     labels = table.agg(*[F.min(F.struct(F.abs(F.col(c) - v).alias("d"), F.col(c).alias("x")))["x"].alias(f"_{c}") for c, v in at.items()])
