@@ -12,7 +12,7 @@ decided on their exact shingles, word by word.
 The corpus is scanned once. What is broadcast is a Bloom filter of the sketches' hashes, of 64 bits a hash and
 at most ``most_bits``, however large the benchmark is; a fuller one only lets more rows through to the join of
 hashes and sketches, which decides. Documents that show a hash are written once with their hashes; their texts
-meet the texts of their candidates, as a list that no item can enter twice.
+meet the texts of their candidates, ``ITEMS`` in a row at most.
 
 Nulls and empty texts contain nothing and are contained in nothing. Items with equal id but different
 texts are each searched; a match counts once per (doc_id, item_id), with the larger share. Repeated rows
@@ -26,7 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ from isobath.llm.shared import WORD, materialise, shielded, table
 WIDTH = 5
 SHARE = (80, 100)
 BLOCK_BITS, MOST_BITS, BITS_A_KEY, PROBES = 1 << 15, 1 << 29, 64, 6
+# A candidate meets so many items' texts in one row.
+ITEMS = 64
 _WORD = re.compile(WORD.encode())
 _LOWER = bytes(N.LOWER)
 
@@ -113,13 +115,14 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def probe(batches):
-        on = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        filled = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             for a, _, raw, offsets in N._slices(batch.column("text")):
                 names, of = N.shingle_names(raw, offsets, width)
                 hit = np.arange(len(names))
                 for k in range(PROBES):
-                    hit = hit[on[_places(names[hit], k, bits)]]
+                    at = _places(names[hit], k, bits)
+                    hit = hit[(filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
                 doc = np.searchsorted(of, hit, "right") - 1
                 shown, first = np.unique(doc, return_index=True)
                 keys = pa.ListArray.from_arrays(pa.array(np.r_[first, len(hit)].astype(np.int32)), pa.array(names[hit].view(np.int64)))
@@ -131,7 +134,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share
     suspects = materialise(given.mapInArrow(probe, schema).withColumn("row", F.monotonically_increasing_id()), "suspects")
     shows = suspects.select("row", "n_doc", F.explode("keys").alias("key")).join(sketches, "key").filter("n_doc >= least")
     candidates = shows.groupBy("row", "item").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).filter("n >= needed").select("row", "item")
-    texts = candidates.join(wanted, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    numbered = candidates.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("row").orderBy("item")) - 1) / ITEMS))
+    texts = numbered.join(wanted, "item").groupBy("row", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
 
     def decide(batches):
         for batch in batches:

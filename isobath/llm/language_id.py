@@ -10,9 +10,11 @@ The score weighs the learned languages against each other and says nothing of a
 that, calibrate() finds the usual mean log-probability of a trigram under the language told, and how far
 held-out texts of all lengths fall below it; identify() marks as foreign what falls ``REACH`` times as far.
 
-Learned from a bounded sample: at most ``PER_LANG`` rows a language and ``SAMPLE`` in all, chosen by a hash of
-doc_id and text among the labelled rows for training, of the ``MOST_LANGS`` most frequent languages;
-everything is predicted. doc_id, lang and source are never inputs of a prediction. Learning is deterministic.
+Learned from a bounded sample: at most ``PER_LANG`` rows a language and ``SAMPLE`` in all, but one of each language
+at least, chosen by a hash of doc_id and text among the labelled rows for training. Every labelled language is learned
+and everything is predicted; the model takes 64 kB a language, whatever the corpus holds. doc_id, lang and source are
+never inputs of a prediction. Learning is deterministic. Counts are dense for ``ROWS`` texts at a time, so memory follows
+the bytes of texts, not their number; a text of any length is taken whole.
 In the family's posterior a text counts as at most ``WEIGHT`` trigrams, which only tempers the score: the family
 told is the same for any weight.
 
@@ -38,13 +40,13 @@ from isobath.llm.shared import shielded, table
 BITS = 12
 PER_LANG = 300
 SAMPLE = 6_000
-MOST_LANGS = 600
+ROWS = 128
 # The trigrams of a text are not independent: in the family's posterior a text weighs no more than so many.
 WEIGHT = 200.0
 EPOCHS = 12
 LAMBDA = 1e-4
-# One held-out text in four falls further below its language's median than the usual reach: texts with foreign passages do not widen it. A language with fewer such texts than LEAST_HELD is not judged.
-USUAL, REACH, LEAST_HELD = 0.75, 30.0, 20
+# One held-out text in four falls further below its language's median than the usual reach, which is one for all languages: texts with foreign passages do not widen it. A language without such texts is judged as the one of the lowest median.
+USUAL, REACH = 0.75, 30.0
 # Trigrams of a text whose chance spread equals the spread between long texts.
 SHORT = 100.0
 # Language families by ISO 639 code; a code that is not listed is a family of its own.
@@ -91,6 +93,14 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.ndarr
     return np.bincount((owner * (1 << bits) + slot)[keep], minlength=n << bits).reshape(n, -1)
 
 
+def _few(texts: pa.Array):
+    """Texts as N._slices gives them, at most ROWS at a time."""
+    for a, b, raw, offsets in N._slices(texts):
+        for c in range(0, b - a, ROWS):
+            own = offsets[c : c + ROWS + 1]
+            yield a + c, min(b, a + c + ROWS), raw[own[0] : own[-1]], own - own[0]
+
+
 def _unit(counts: np.ndarray) -> np.ndarray:
     x = np.sqrt(counts, dtype=np.float32)
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
@@ -180,16 +190,16 @@ def held_out(doc_id: Column) -> Column:
 
 def _sampled(docs: DataFrame, out: bool, per_lang: int, sample: int, more: float) -> tuple[DataFrame, int] | None:
     """text, lang and a draw u of a sample of the labelled rows that are held out or not, and how many a language may
-    have; the most frequent ``MOST_LANGS`` languages count. ``more`` times the rows asked for are let through."""
+    have. ``more`` times the rows asked for are let through."""
     part = held_out(F.col("doc_id"))
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (part if out else ~part) & F.col("text").rlike(r"\p{L}"))
-    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(MOST_LANGS, sample)).collect()
+    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counted:
         return None
-    most = min(per_lang, sample // len(counted))
+    most = max(1, min(per_lang, sample // len(counted)))
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r.lang, min(1.0, more * most / r.n + (more > 1) * 10 / r.n))])
-    return usable.withColumn("u", u).filter(F.col("u") < share[F.col("lang")]).select("text", "lang", "u"), most
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, more * most / r.n + (more > 1) * 10 / r.n)) for r in counted], "lang string, share double")
+    return usable.withColumn("u", u).join(F.broadcast(shares), "lang").filter("u < share").select("text", "lang", "u"), most
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
@@ -201,7 +211,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
 
     def run(batches):
         for batch in batches:
-            for a, b, raw, offsets in N._slices(batch.column(0)):
+            for a, b, raw, offsets in _few(batch.column(0)):
                 rows = features(raw, offsets).astype(np.uint32)
                 yield pa.record_batch([pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["f", "lang", "u"])
 
@@ -229,7 +239,7 @@ def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sa
 
     def run(batches):
         for batch in batches:
-            for a, b, raw, offsets in N._slices(batch.column(0)):
+            for a, b, raw, offsets in _few(batch.column(0)):
                 counts = features(raw, offsets)
                 langs, _ = sent.value.predict(counts)
                 mean, wide = sent.value.likelihood(counts, langs)
@@ -239,12 +249,12 @@ def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sa
     seen: dict[str, list[tuple[float, float]]] = {}
     for r in found[0].select("text", "lang").mapInArrow(run, "lang string, mean double, wide double, told boolean").filter("told").collect():
         seen.setdefault(r.lang, []).append((r["mean"], r.wide))
-    spreads = {lang: np.array(rows).T for lang, rows in seen.items() if len(rows) >= LEAST_HELD}
+    spreads = {lang: np.array(rows).T for lang, rows in seen.items()}
     centres = {lang: float(np.median(mean)) for lang, (mean, _) in spreads.items()}
     fallen = [(centres[lang] - mean) / wide for lang, (mean, wide) in spreads.items()]
     reach = float(np.quantile(np.concatenate(fallen), USUAL)) if fallen else 0.0
-    usual = {lang: (centre, reach) for lang, centre in centres.items()}
-    return usual
+    rest = min(centres.values(), default=-np.inf)
+    return {lang: (centres.get(lang, rest), reach) for own in model.families.values() for lang in own}
 
 
 def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -264,7 +274,7 @@ def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float,
             texts = batch.column(batch.num_columns - 2)
             lettered = batch.column(batch.num_columns - 1).to_pylist()
             langs, scores, strange = [], [], []
-            for a, b, raw, offsets in N._slices(texts):
+            for a, b, raw, offsets in _few(texts):
                 counts = features(raw, offsets)
                 found, score = sent.value.predict(counts)
                 if usual is not None:

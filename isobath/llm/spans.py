@@ -217,6 +217,13 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return depth[:n] > 0
 
 
+def _ends(ends: np.ndarray, width: int) -> pa.Buffer:
+    """Where the values of a binary column end; OverflowError where they do not fit, as with texts of some 268 MB."""
+    if ends[-1] * width >= 2**31:
+        raise OverflowError("a text is too long: what one chunk tells the others must stay under 2 GB")
+    return pa.py_buffer((ends * width).astype(np.int32))
+
+
 # Packed rows. A column's kind says how a group's items are stored: raw items, or ascending places as 32-bit steps.
 
 
@@ -238,7 +245,7 @@ def packed(chunk: int, bucket: np.ndarray, raw: dict[str, np.ndarray], places: d
             continue
         x = np.ascontiguousarray(raw[name] if name in places else raw[name][order])
         width = x.dtype.itemsize * (x.shape[1] if x.ndim == 2 else 1)
-        columns[name] = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(x.tobytes())])
+        columns[name] = pa.Array.from_buffers(pa.binary(), len(cuts), [None, _ends(ends, width), pa.py_buffer(x.tobytes())])
     return pa.table(columns, schema=schema)
 
 
@@ -272,7 +279,7 @@ def rows_like(group: pa.Table, n: np.ndarray, raw: dict[str, np.ndarray], schema
     for name in schema.names[2:]:
         if name in raw:
             x = np.ascontiguousarray(raw[name])
-            columns[name] = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * x.dtype.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())])
+            columns[name] = pa.Array.from_buffers(pa.binary(), len(n), [None, _ends(ends, x.dtype.itemsize), pa.py_buffer(x.tobytes())])
         else:
             columns[name] = pa.nulls(len(n), pa.binary())
     return pa.table(columns, schema=schema)

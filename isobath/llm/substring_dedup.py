@@ -13,7 +13,8 @@ A window's place is (doc_id, start). Windows count as equal if both names are.
 Nulls: a null text has no words; a null doc_id counts as the largest. Rows with equal doc_id are taken in a
 fixed order that their texts decide; identical rows are separate, so the later one loses its windows. Empty
 tables give empty results; columns other than doc_id and text play no part in the result. A document is held
-whole by one task, in some 12 bytes a byte; one that is longer than a chunk is a chunk's main part.
+whole by one task, in some 12 bytes a byte; one that is longer than a chunk is a chunk's
+main part, and one so long that its keys exceed 2 GB is an OverflowError.
 """
 
 from __future__ import annotations

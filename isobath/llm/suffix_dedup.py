@@ -16,7 +16,7 @@ Rounds, each an exchange in which sorted ranks tell repeated from unique:
 A byte goes if a string over it repeats. Strings and stretches count as equal if both their rank and a second
 name agree, which another seed makes from the bytes themselves. Text is shuffled once and read by three passes;
 a document that is longer than a block is worked on in pieces that overlap by a string, and a stretch cut so is
-two stretches, which round 2 sorts out.
+two stretches, which round 2 sorts out. A text that is so long that its keys exceed 2 GB (some 268 MB) is an OverflowError.
 
 Nulls: a null text is empty. doc_id only orders rows inside a chunk; identical rows, with equal or null
 doc_id too, are different places, so their long strings repeat. Empty tables give empty results;

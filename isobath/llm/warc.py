@@ -11,9 +11,12 @@ whole; segments are grouped by origin identifier, ordered by segment number, and
 run from 1 without a gap and the length is the stated total; then the chunked framing is decoded and the
 payload's digest is checked. An incomplete or damaged record gets payload null and says why in ``error``.
 
-A record's identifier holds the page_id and the payload's digest, so a page with several payloads has a record
-for each. Equal payloads of one page_id are one record that states how often it was given, and are as many rows
-again when they are read (their url is any of theirs).
+Every row is a record of its own, with its own url. A record's identifier holds the page_id and the payload's digest;
+where a page has the same payload more than once, the record of the smallest url bears it, and the others add a digest
+of their url and a number. All of them are responses if the page is the response, and revisits refer to the first. Rows
+that are equal as a whole travel as one with their number and are written ``COPIES`` a task.
+
+Two different segments of one number are an error (``conflicting segments``), equal ones are one.
 
 Nulls: a null payload is empty, a null url an empty string, a null page_id a page of its own that revisits any
 page with an id. Extra columns play no part. An empty table gives an empty archive. Spark's text writer makes one
@@ -36,6 +39,7 @@ REVISIT = 1000
 SEGMENT = 32 << 10
 HTTP_CHUNK = 8 << 10
 RECORDS_A_FILE = 2000
+COPIES = 1000
 SEP = b"\r\n\r\n"
 
 
@@ -48,13 +52,13 @@ def identified(pages: DataFrame) -> DataFrame:
 
 
 def decisions(pages: DataFrame, least: int = REVISIT) -> DataFrame:
-    """id, copies (rows of it), record_type, refers_to (an id). Only payloads that repeat meet a join."""
-    each = identified(pages).groupBy("id", "page_id", "sha1", "n").agg(F.count("*").alias("copies"))
+    """id, first_url (of its rows), record_type, refers_to (an id). Only payloads that repeat meet a join."""
+    each = identified(pages).groupBy("id", "page_id", "sha1", "n").agg(F.min("url").alias("first_url"))
     # of pages without an id none is the largest, unless all are
     latest = F.max_by("id", F.struct(F.col("page_id").isNotNull(), "page_id")).alias("latest")
     often = each.filter(F.col("n") >= least).groupBy("sha1", "n").agg(latest, F.count("*").alias("times")).filter("times > 1")
     refers = F.when(F.col("latest") != F.col("id"), F.col("latest"))
-    return each.join(often, ["sha1", "n"], "left").select("id", "copies", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
+    return each.join(often, ["sha1", "n"], "left").select("id", "first_url", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
 
 
 def frame(payload: bytes, size: int = HTTP_CHUNK) -> bytes:
@@ -88,11 +92,11 @@ def page_urn(page_id: int | None, payload: bytes) -> str:
     return f"urn:page:{'null' if page_id is None else page_id}:{hashlib.sha1(payload).hexdigest()}"
 
 
-def records(id_: str, url: str, payload: bytes, refers_to: str | None, segment: int = SEGMENT, copies: int = 1) -> list[bytes]:
-    """The records of one page, without the separators after them; the first says how many rows of the page there are."""
+def records(id_: str, url: str, payload: bytes, refers_to: str | None, segment: int = SEGMENT) -> list[bytes]:
+    """The records of one row, without the separators after them."""
     digest = f"sha1:{hashlib.sha1(payload).hexdigest()}"
     uri = "".join(c if c > " " else "%20" for c in url)
-    headers = {"WARC_Target_URI": uri, "WARC_Payload_Digest": digest, "Content_Type": "application/http; msgtype=response", "X_Payload_Length": len(payload), "X_Copies": copies if copies > 1 else None}
+    headers = {"WARC_Target_URI": uri, "WARC_Payload_Digest": digest, "Content_Type": "application/http; msgtype=response", "X_Payload_Length": len(payload)}
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + SEP
     if refers_to is not None:
         return [_record("revisit", id_, head, WARC_Refers_To=f"<{refers_to}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **headers)]
@@ -110,24 +114,30 @@ def records(id_: str, url: str, payload: bytes, refers_to: str | None, segment:
 def write_archives(pages: DataFrame, path: str, least: int = REVISIT, segment: int = SEGMENT) -> None:
     """Write pages (page_id, url, html) as WARC files into the folder path.
 
-    Equal rows meet before the payloads are shuffled, by their id, to which the decisions are joined.
+    Equal rows meet before the payloads are shuffled, by id and url, and part again before they are written.
     """
     decided = materialise(decisions(pages, least), "warc")
-    once = identified(pages).select("id", "url", "payload").dropDuplicates(["id"]).join(decided, "id")
+    once = identified(pages).groupBy("id", "url").agg(F.first("payload").alias("payload"), F.count("*").alias("copies")).join(decided, "id")
+    columns = ["id", "url", "first_url", "payload", "refers_to"]
+    few = once.filter(F.col("copies") <= COPIES).select(*columns, F.lit(1).cast("long").alias("start"), F.col("copies").alias("end"))
+    parts = once.filter(F.col("copies") > COPIES).withColumn("start", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(COPIES).cast("long"))))
+    many = parts.select(*columns, "start", F.least(F.col("start") + COPIES - 1, F.col("copies")).alias("end")).repartition("id", "url", "start")
 
     def run(batches):
         for batch in batches:
             out, size = [], 0
-            for id_, url, payload, refers_to, copies in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "refers_to", "copies")), strict=True):
-                for r in records(id_, url, payload, refers_to, segment, copies):
-                    out.append(r)
-                    size += len(r)
-                if size > 4 << 20:
-                    yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
-                    out, size = [], 0
+            for id_, url, first_url, payload, refers_to, start, end in zip(*(batch.column(c).to_pylist() for c in (*columns, "start", "end")), strict=True):
+                for number in range(start, end + 1):
+                    own = id_ if url == first_url and number == 1 else f"{id_}:{hashlib.sha1(url.encode()).hexdigest()}-{number}"
+                    for r in records(own, url, payload, refers_to, segment):
+                        out.append(r)
+                        size += len(r)
+                    if size > 4 << 20:
+                        yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
+                        out, size = [], 0
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
-    made = once.select("id", "url", "payload", "refers_to", "copies").mapInArrow(run, "record binary")
+    made = few.unionByName(many).mapInArrow(run, "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEP.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
@@ -150,8 +160,8 @@ def _bare(id_: str | None) -> str | None:
     return id_.strip("<>") if id_ else None
 
 
-_FIELDS = pa.schema([("id", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("stated", pa.int64()), ("copies", pa.int64()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
-_DDL = "id string, kind string, uri string, refers string, digest string, stated long, copies long, segment long, total long, block binary"
+_FIELDS = pa.schema([("id", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("stated", pa.int64()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+_DDL = "id string, kind string, uri string, refers string, digest string, stated long, segment long, total long, block binary"
 _BATCH = 256
 
 
@@ -172,9 +182,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     def rows(data: bytes):
         for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-            stated, copies, number, total = (int(h[k]) if k in h else None for k in ("x-payload-length", "x-copies", "warc-segment-number", "warc-segment-total-length"))
+            stated, number, total = (int(h[k]) if k in h else None for k in ("x-payload-length", "warc-segment-number", "warc-segment-total-length"))
             id_ = h.get("warc-segment-origin-id", h["warc-record-id"])
-            yield _bare(id_), h["warc-type"], h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), h.get("warc-payload-digest"), stated, copies, number, total, block
+            yield _bare(id_), h["warc-type"], h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), h.get("warc-payload-digest"), stated, number, total, block
 
     def run(batches):
         for batch in batches:
@@ -189,22 +199,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassemble(found: DataFrame) -> DataFrame:
     """One row per record: blocks in order, with error where they do not fit together. Segments are grouped by origin."""
     whole = found.filter(F.col("segment").isNull()).withColumn("blocks", F.array("block")).drop("segment", "total", "block").withColumn("error", F.lit(None).cast("string"))
-    parts = F.sort_array(F.collect_list(F.struct("segment", "block")))
+    parts = F.sort_array(F.array_distinct(F.collect_list(F.struct("segment", "block"))))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     length = F.aggregate("blocks", F.lit(0).cast("long"), lambda acc, b: acc + F.octet_length(b))
     joined = (
         found.filter(F.col("segment").isNotNull())
-        .dropDuplicates(["id", "segment"])
         .groupBy("id")
-        .agg(*[first(c) for c in ("kind", "uri", "refers", "digest", "stated", "copies")], F.max("total").alias("total"), parts.alias("parts"))
+        .agg(*[first(c) for c in ("kind", "uri", "refers", "digest", "stated")], F.max("total").alias("total"), parts.alias("parts"))
         .withColumn("blocks", F.transform("parts", lambda p: p["block"]))
+        .withColumn("twice", F.size(F.array_distinct(F.transform("parts", lambda p: p["segment"]))) < F.size("parts"))
         .withColumn("gap", F.exists(F.transform("parts", lambda p, i: p["segment"] != i + 1), lambda g: g))
-        .withColumn("error", F.when(F.col("gap") | F.col("total").isNull(), "missing segment").when(length != F.col("total"), "wrong total length"))
+        .withColumn("error", F.when(F.col("twice"), "conflicting segments").when(F.col("gap") | F.col("total").isNull(), "missing segment").when(length != F.col("total"), "wrong total length"))
     )
     return whole.unionByName(joined.select(*whole.columns))
 
 
-_PAYLOADS = pa.schema([("id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("copies", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+_PAYLOADS = pa.schema([("id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
 
 def _payload(r: dict) -> tuple:
@@ -222,19 +232,19 @@ def _payload(r: dict) -> tuple:
     trusted = r["kind"] == "revisit" and error is None
     n = len(payload) if payload is not None else r["stated"] if trusted else None
     digest = hashlib.sha1(payload).hexdigest() if payload is not None else (stated or None) if trusted else None
-    return r["id"], r["uri"], r["kind"], r["refers"], n, digest, r["copies"] or 1, payload, error
+    return r["id"], r["uri"], r["kind"], r["refers"], n, digest, payload, error
 
 
 def payloads(found: DataFrame) -> DataFrame:
-    """id, uri, record_type, refers_to (identifier), payload_bytes, payload_digest, copies, payload, error; a revisit has no payload of its own."""
+    """id, uri, record_type, refers_to (identifier), payload_bytes, payload_digest, payload, error; a revisit has no payload of its own."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, _BATCH):
                 yield from _record_batches(map(_payload, batch.slice(a, _BATCH).to_pylist()), _PAYLOADS)
 
-    ddl = "id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, copies long, payload binary, error string"
-    return found.select("id", "kind", "uri", "refers", "digest", "stated", "copies", "blocks", "error").mapInArrow(run, ddl)
+    ddl = "id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string"
+    return found.select("id", "kind", "uri", "refers", "digest", "stated", "blocks", "error").mapInArrow(run, ddl)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -248,11 +258,10 @@ def op6_warc(spark, sf_dir):
     # a revisit's payload is its response's: length and digest are read from the response
     origin = back.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
     revisits = back.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(origin, "refers_to", "left").withColumnsRenamed({"n": "payload_bytes", "d": "payload_digest"})
-    columns = ["id", "copies", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    columns = ["id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     both = back.filter("record_type = 'response'").select(*columns).unionByName(revisits.select(*columns))
     number = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS long)")
-    rows = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return rows.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return both.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 ORACLE = f"""

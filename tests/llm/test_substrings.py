@@ -181,3 +181,9 @@ def test_queries_return_the_contract_columns(spark, tmp_path):
     two = queries.QUERIES["op2_suffix_dedup"](spark, str(tmp_path))
     assert two.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(tuple(r[:5]) for r in two.collect()) == sorted(brute_bytes(rows))
+
+
+def test_packed_rows_refuse_what_does_not_fit():
+    with pytest.raises(OverflowError):
+        S._ends(np.array([0, 2**28]), 8)
+    assert np.frombuffer(S._ends(np.array([0, 2**28 - 1]), 8), np.int32).tolist() == [0, 2**31 - 8]

@@ -105,6 +105,7 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
                 want.add((i, k, len(s), len(s & own)))
     docs, bench_df = spark.createDataFrame(rows, cases.SCHEMA), spark.createDataFrame(bench, "item_id long, text string")
     monkeypatch.setattr(decontamination, "BLOCK_BITS", 256)
+    monkeypatch.setattr(decontamination, "ITEMS", 2)
     for bits in (decontamination.MOST_BITS, 256):  # the smaller filter is full and lets all through
         assert {tuple(r) for r in decontamination.contained_items(docs, bench_df, most_bits=bits).collect()} == want
     assert {(5000 + k, k) for k in range(5)} <= {(i, k) for i, k, *_ in want}
