@@ -52,13 +52,13 @@ def identified(pages: DataFrame) -> DataFrame:
 
 
 def decisions(pages: DataFrame, least: int = REVISIT) -> DataFrame:
-    """id, first_url (of its rows), record_type, refers_to (an id). Only payloads that repeat meet a join."""
-    each = identified(pages).groupBy("id", "page_id", "sha1", "n").agg(F.min("url").alias("first_url"))
+    """id, copies and first_url (of its rows), record_type, refers_to (an id). Only payloads that repeat meet a join."""
+    each = identified(pages).groupBy("id", "page_id", "sha1", "n").agg(F.count("*").alias("copies"), F.min("url").alias("first_url"))
     # of pages without an id none is the largest, unless all are
     latest = F.max_by("id", F.struct(F.col("page_id").isNotNull(), "page_id")).alias("latest")
     often = each.filter(F.col("n") >= least).groupBy("sha1", "n").agg(latest, F.count("*").alias("times")).filter("times > 1")
     refers = F.when(F.col("latest") != F.col("id"), F.col("latest"))
-    return each.join(often, ["sha1", "n"], "left").select("id", "first_url", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
+    return each.join(often, ["sha1", "n"], "left").select("id", "copies", "first_url", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
 
 
 def frame(payload: bytes, size: int = HTTP_CHUNK) -> bytes:
@@ -114,14 +114,17 @@ def records(id_: str, url: str, payload: bytes, refers_to: str | None, segment:
 def write_archives(pages: DataFrame, path: str, least: int = REVISIT, segment: int = SEGMENT) -> None:
     """Write pages (page_id, url, html) as WARC files into the folder path.
 
-    Equal rows meet before the payloads are shuffled, by id and url, and part again before they are written.
+    Payloads meet the decisions by id. Rows of an id that repeats meet once more, equal ones pre-aggregated, and part again
+    before they are written.
     """
     decided = materialise(decisions(pages, least), "warc")
-    once = identified(pages).groupBy("id", "url").agg(F.first("payload").alias("payload"), F.count("*").alias("copies")).join(decided, "id")
+    one = F.lit(1).cast("long")
     columns = ["id", "url", "first_url", "payload", "refers_to"]
-    few = once.filter(F.col("copies") <= COPIES).select(*columns, F.lit(1).cast("long").alias("start"), F.col("copies").alias("end"))
-    parts = once.filter(F.col("copies") > COPIES).withColumn("start", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(COPIES).cast("long"))))
-    many = parts.select(*columns, "start", F.least(F.col("start") + COPIES - 1, F.col("copies")).alias("end")).repartition("id", "url", "start")
+    rows = identified(pages).select("id", "url", "payload").join(decided, "id")
+    single = rows.filter("copies = 1").select(*columns, one.alias("start"), one.alias("end"))
+    equal = rows.filter("copies > 1").groupBy("id", "url", "first_url", "refers_to").agg(F.first("payload").alias("payload"), F.count("*").alias("times"))
+    parts = equal.withColumn("start", F.explode(F.sequence(one, F.col("times"), F.lit(COPIES).cast("long"))))
+    many = parts.select(*columns, "start", F.least(F.col("start") + COPIES - 1, F.col("times")).alias("end")).repartition("id", "url", "start")
 
     def run(batches):
         for batch in batches:
@@ -137,7 +140,7 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT, segment: i
                         out, size = [], 0
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
-    made = few.unionByName(many).mapInArrow(run, "record binary")
+    made = single.unionByName(many).mapInArrow(run, "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEP.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
