@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobath.functions import potential
+from isobath.operators import search
 
 
 def pairs(stations: DataFrame, cells: DataFrame) -> DataFrame:
@@ -58,16 +59,13 @@ def tiles(cells: DataFrame, radius: float, value: str) -> DataFrame:
 
 
 def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """For each station the nearest cell, the smaller id of ties."""
-    square = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
-    return pairs(points, cells).groupBy("obs_id").agg(F.min(F.struct(square.alias("s"), "cell_id")).alias("m")).select("obs_id", F.col("m.cell_id").alias("cell_id"), F.sqrt("m.s").alias("distance"))
+    """For each station the nearest cell, the smaller id of ties; by growing rings of boxes."""
+    return search.nearest(points, cells).drop("rank")
 
 
 def top_tiles(points: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """The k nearest cells of each station, ranked."""
-    square = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
-    ranked = pairs(points, cells).select("obs_id", "cell_id", square.alias("s")).withColumn("rank", F.row_number().over(Window.partitionBy("obs_id").orderBy("s", "cell_id")))
-    return ranked.filter(F.col("rank") <= k).select("obs_id", "cell_id", F.col("rank").cast("long").alias("rank"), F.sqrt("s").alias("distance"))
+    """The k nearest cells of each station, ranked; by growing rings of boxes."""
+    return search.nearest(points, cells, k)
 
 
 def prior(cells: DataFrame, sd: float = 1.0) -> DataFrame:

@@ -37,6 +37,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.names: list[str] = []
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -52,3 +53,17 @@ class Store:
     def _delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """The table dealt once to buckets of a column: joins on it do not move it again."""
+        self.n += 1
+        name = f"t{uuid.uuid4().hex}"
+        df.repartition(buckets, column).write.option("path", f"{self.folder}/{self.n}").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Delete the folder; tables that are still to be read must not be in it."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._delete(self.folder)
