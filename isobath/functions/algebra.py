@@ -1,4 +1,4 @@
-"""One arithmetic for Spark columns and for SQL text.
+"""One arithmetic for Spark columns, for SQL text, and for numbers and arrays of them.
 
 The closed forms of this package are written once over these functions. Given Spark columns they build
 Catalyst expressions; given ``Sql`` values they build the text of the same expression for another SQL
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +62,9 @@ def _call(name: str, spark, *args):
         return spark(*[a if isinstance(a, Column) else F.lit(a) for a in args])
     if any(isinstance(a, Sql) for a in args):
         return Sql(f"{name}({', '.join(Sql.of(a) for a in args)})")
+    if any(isinstance(a, np.ndarray) for a in args):
+        many = {"ln": np.log, "greatest": np.maximum, "least": np.minimum, "acos": np.arccos, "atan2": np.arctan2}
+        return many.get(name, getattr(np, name, None))(*args)
     plain = {"ln": math.log, "greatest": max, "least": min, "power": math.pow, "abs": abs}
     return plain[name](*args) if name in plain else getattr(math, name)(*args)
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobath.operators.profiles import interpolate
 
 
 def l2(pairs: DataFrame) -> DataFrame:
@@ -77,26 +76,14 @@ def xcorr(pairs: DataFrame, dt: float = 1.0) -> DataFrame:
     return pairs.groupBy("pair").applyInPandas(run, "pair long, misfit double")
 
 
-def quantiles(density: DataFrame, at: DataFrame, dt: float) -> DataFrame:
-    """(pair, u, q): where the cumulated density of (pair, t, d) passes each u of at, linear between samples, clamped at the ends."""
-    order = Window.partitionBy("pair").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = density.select("pair", F.sum("d").over(order).alias("u"), (F.col("t") * dt).alias("q"))
-    return interpolate(cdf, at, "pair", "u", "q")
+def wasserstein(pairs: DataFrame, dt: float = 1.0) -> DataFrame:
+    """Squared 2-Wasserstein distance of the traces as densities over time, on max(2 n, 256) quantiles; one sort a pair."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "misfit": [transport(pdf["p"].to_numpy(float), pdf["o"].to_numpy(float), dt)]})
 
-def wasserstein(pairs: DataFrame, dt: float = 1.0) -> DataFrame:
-    """Squared 2-Wasserstein distance of the traces as densities over time, on max(2 n, 256) quantiles."""
-    whole = Window.partitionBy("pair")
-
-    def density(c: str) -> DataFrame:
-        raised = pairs.withColumn("x", F.col(c) - F.min(c).over(whole) + 1e-12)
-        return raised.select("pair", "t", (F.col("x") / F.sum("x").over(whole)).alias("d"))
-
-    m = pairs.groupBy("pair").agg(F.greatest(2 * F.count("*"), F.lit(256)).alias("m"))
-    at = m.select("pair", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda i: (i + 0.5) / F.col("m"))).alias("u"))
-    both = quantiles(density("p"), at, dt).join(quantiles(density("o"), at, dt).withColumnRenamed("q", "s"), ["pair", "u"])
-    d = F.col("q") - F.col("s")
-    return both.groupBy("pair").agg(F.avg(d * d).alias("misfit"))
+    return pairs.groupBy("pair").applyInPandas(run, "pair long, misfit double")
 
 
 def envelope(pairs: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isobath.functions import atmosphere
 
+BLOCK = 1024
+
 
 def lines_table(spark: SparkSession, rows, first: str) -> DataFrame:
     """A dimension table of lines: f0 and the given coefficients c1, c2, .."""
@@ -17,18 +22,26 @@ def lines_table(spark: SparkSession, rows, first: str) -> DataFrame:
 def gaseous(air: DataFrame, oxygen=atmosphere.OXYGEN_LINES, vapour=atmosphere.VAPOUR_LINES) -> DataFrame:
     """air (obs_id, f_ghz, p_hpa, e_hpa, t_k) to oxygen_db, vapour_db, total_db per km.
 
-    The lines, a parameter of at most hundreds of rows, meet every row, and their shares add up in the same task before
-    one exchange of a row each. Rows with a null input stay, with nulls; repeated rows stay.
+    The lines are a parameter of at most hundreds of rows; a task takes all of them for a block of rows at once, and
+    nothing is exchanged. Rows with a null input stay, with nulls; repeated rows stay.
     """
-    width = max(len(x) for x in (*oxygen, *vapour))
-    rows = [(kind, *map(float, x), *[0.0] * (width - len(x))) for kind, lines in ((True, oxygen), (False, vapour)) for x in lines]
-    lines = air.sparkSession.createDataFrame(rows, ", ".join(["dry boolean", *[f"c{i} double" for i in range(width)]]))
-    given = ["obs_id", "f_ghz", "p_hpa", "e_hpa", "theta"]
-    base = air.select(*given[:4], (F.lit(300.0) / F.col("t_k")).alias("theta")).withColumn("row", F.monotonically_increasing_id())
-    args = [F.col(c) for c in given[1:]]
-    line = [F.col(f"c{i}") for i in range(width)]
-    shares = [F.sum(F.when(F.col("dry") == is_dry, shape(*args, line[:n]))) for is_dry, shape, n in ((True, atmosphere.oxygen_line, len(oxygen[0])), (False, atmosphere.vapour_line, len(vapour[0])))]
-    summed = base.crossJoin(F.broadcast(lines)).groupBy("row").agg(*[F.first(c).alias(c) for c in given], shares[0].alias("o"), shares[1].alias("w"))
+    base = air.select("obs_id", "f_ghz", "p_hpa", "e_hpa", (F.lit(300.0) / F.col("t_k")).alias("theta"))
+    base = base.select("obs_id", *[F.col(c).cast("double").alias(c) for c in base.columns[1:]])
+    schema = T.StructType([*base.schema, T.StructField("o", T.DoubleType()), T.StructField("w", T.DoubleType())])
+    kinds = [(shape, [np.array(c, float)[None, :] for c in zip(*lines, strict=True)]) for shape, lines in ((atmosphere.oxygen_line, oxygen), (atmosphere.vapour_line, vapour))]
+
+    def run(batches):
+        for batch in batches:
+            sums = [[np.zeros(0)], [np.zeros(0)]]
+            for a in range(0, batch.num_rows, BLOCK):
+                given = [batch.column(k).slice(a, BLOCK).to_numpy(zero_copy_only=False)[:, None] for k in range(1, 5)]
+                for own, (shape, line) in zip(sums, kinds, strict=True):
+                    own.append(shape(*given, line).sum(axis=1))
+            # a null input became NaN on its way
+            yield pa.record_batch([*batch.columns, *[pa.array(np.concatenate(x), from_pandas=True) for x in sums]], names=schema.names)
+
+    summed = base.mapInArrow(run, schema)
+    args = [F.col(c) for c in ("f_ghz", "p_hpa", "e_hpa", "theta")]
     dry = atmosphere.specific(F.col("f_ghz"), F.col("o") + atmosphere.dry_continuum(*args))
     wet = atmosphere.specific(F.col("f_ghz"), F.col("w"))
     return summed.select("obs_id", dry.alias("oxygen_db"), wet.alias("vapour_db"), (dry + wet).alias("total_db"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from isobath.functions import potential
 from isobath.functions.algebra import Sql
-from isobath.operators import dynamics, fields, inference, joint
+from isobath.operators import dynamics, fields, inference, joint, scan
 from isobath.plans.relational import RADIUS, _near, _pairs_sql, rounded
 from isobath.plans.views import view, view_sql
-from isobath.streaming import kalman
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -66,7 +65,7 @@ def _series(spark, sf_dir):
     return view(spark, sf_dir, "trace").select(F.col("trace_id").alias("series"), F.col("t_idx").alias("t"), "y")
 
 
-QUERIES["kalman_filter"] = lambda spark, sf_dir: rounded(kalman.filter_batch(_series(spark, sf_dir), 0.95, 100.0, 400.0), 6, "mean", "variance")
+QUERIES["kalman_filter"] = lambda spark, sf_dir: rounded(scan.kalman_filter(_series(spark, sf_dir), 0.95, 100.0, 400.0), 6, "mean", "variance")
 ORACLES["kalman_filter"] = f"""WITH RECURSIVE s AS (SELECT trace_id AS series, t_idx AS t, y FROM {_TRACE} v),
 f(series, t, mean, variance) AS (SELECT series, t, y, 400e0 FROM s WHERE t = 0 UNION ALL
   SELECT s.series, s.t, 95e-2 * f.mean + g.v / (g.v + 400e0) * (s.y - 95e-2 * f.mean), (1e0 - g.v / (g.v + 400e0)) * g.v
@@ -74,6 +73,20 @@ f(series, t, mean, variance) AS (SELECT series, t, y, 400e0 FROM s WHERE t = 0 U
 SELECT series, t, round(mean, 6) AS mean, round(variance, 6) AS variance FROM f"""
 
 
+def _series_smooth(spark, sf_dir):
+    """Filtered by chunks of 16 samples, and smoothed over the same chunks backwards."""
+    filtered = scan.kalman_filter(_series(spark, sf_dir), 0.95, 100.0, 400.0, 16)
+    return rounded(scan.kalman_smooth(filtered, 0.95, 100.0, 16), 6, "mean", "variance")
+
+
+QUERIES["series_smooth"] = _series_smooth
+ORACLES["series_smooth"] = ORACLES["kalman_filter"].replace("SELECT series, t, round(mean, 6) AS mean, round(variance, 6) AS variance FROM f", """,
+b(series, t, mean, variance) AS (SELECT series, t, mean, variance FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t DESC) AS rn FROM f) z WHERE rn = 1 UNION ALL
+  SELECT f.series, f.t, f.mean + g.e * (b.mean - 95e-2 * f.mean), f.variance + g.e * g.e * (b.variance - 9025e-4 * f.variance - 100e0)
+  FROM b JOIN f ON f.series = b.series AND f.t = b.t - 1, LATERAL (SELECT f.variance * 95e-2 / (9025e-4 * f.variance + 100e0) AS e) g)
+SELECT series, t, round(mean, 6) AS mean, round(variance, 6) AS variance FROM b""").replace("AS v) g)\n,", "AS v) g),")
+
+
 def _smooth(spark, sf_dir):
     """Each trace as readings of one relaxing quantity: a pass forth and back, and the variances that EM draws from it."""
     import numpy as np
