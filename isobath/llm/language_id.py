@@ -8,7 +8,8 @@ logistic margin.
 
 The score weighs the learned languages against each other and says nothing of a text in none of them. For
 that, calibrate() finds the usual mean log-probability of a trigram under the language told, and how far
-held-out texts of all lengths fall below it; identify() marks as foreign what falls ``REACH`` times as far.
+held-out texts of all lengths fall below it; identify() marks as foreign what falls ``REACH`` times as far and ``SLACK``
+over the number of held-out texts more.
 
 Learned from a bounded sample: at most ``PER_LANG`` rows a language and ``SAMPLE`` in all, but one of each language
 at least, chosen by a hash of doc_id and text among the labelled rows for training. Every labelled language is learned
@@ -45,8 +46,8 @@ ROWS = 128
 WEIGHT = 200.0
 EPOCHS = 12
 LAMBDA = 1e-4
-# One held-out text in four falls further below its language's median than the usual reach, which is one for all languages: texts with foreign passages do not widen it. A language without such texts is judged as the one of the lowest median.
-USUAL, REACH = 0.75, 30.0
+# One held-out text in four falls further below its language's median than the usual reach, which is one for all languages: texts with foreign passages do not widen it. The fewer held-out texts a language has, the less its median is worth: the allowance grows by SLACK over their number. A language without any is judged as one of the lowest median with one.
+USUAL, REACH, SLACK = 0.75, 30.0, 20.0
 # Trigrams of a text whose chance spread equals the spread between long texts.
 SHORT = 100.0
 # Language families by ISO 639 code; a code that is not listed is a family of its own.
@@ -229,7 +230,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mo
 
 
 def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sample: int = SAMPLE) -> dict[str, tuple[float, float]]:
-    """Per language the median of the likelihood, and the usual reach below it, over a bounded sample of held-out rows told as labelled."""
+    """Per language the median of the likelihood, and how far below it a long text may fall, over a bounded sample of held-out rows told as labelled."""
     if model is None:
         return {}
     found = _sampled(docs, True, per_lang, sample, 1.0)
@@ -254,7 +255,8 @@ def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sa
     fallen = [(centres[lang] - mean) / wide for lang, (mean, wide) in spreads.items()]
     reach = float(np.quantile(np.concatenate(fallen), USUAL)) if fallen else 0.0
     rest = min(centres.values(), default=-np.inf)
-    return {lang: (centres.get(lang, rest), reach) for own in model.families.values() for lang in own}
+    allowed = {lang: REACH * reach + SLACK / max(len(seen.get(lang, ())), 1) for own in model.families.values() for lang in own}
+    return {lang: (centres.get(lang, rest), far) for lang, far in allowed.items()}
 
 
 def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -279,7 +281,7 @@ def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float,
                 found, score = sent.value.predict(counts)
                 if usual is not None:
                     mean, wide = sent.value.likelihood(counts, found)
-                    floor = [usual[x][0] - REACH * usual[x][1] * w if x in usual else -np.inf for x, w in zip(found, wide, strict=True)]
+                    floor = [usual[x][0] - usual[x][1] * w if x in usual else -np.inf for x, w in zip(found, wide, strict=True)]
                     strange += [lettered[a + i] and bool(mean[i] < floor[i]) for i in range(b - a)]
                 for i in range(b - a):
                     langs.append(found[i] if lettered[a + i] else "und")
