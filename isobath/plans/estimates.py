@@ -7,6 +7,8 @@ from isobath.functions.algebra import Sql
 from isobath.operators import dynamics, fields, inference, joint, scan
 from isobath.plans.relational import RADIUS, _near, _pairs_sql, rounded
 from isobath.plans.views import view, view_sql
+from isobath.sources import storage
+from isobath.streaming import reordering
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,27 @@ b(series, t, mean, variance) AS (SELECT series, t, mean, variance FROM (SELECT *
 SELECT series, t, round(mean, 6) AS mean, round(variance, 6) AS variance FROM b""").replace("AS v) g)\n,", "AS v) g),")
 
 
+def _event_filter(spark, sf_dir):
+    """The events as a stream, filtered by user in event time; what the watermark has not passed stays in the buffer."""
+    store = storage.Store(spark, "events")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").selectExpr("user_id AS series", "ts AS at", "value AS y")
+    out = reordering.filter_events(stream, 0.95, 100.0, 400.0, "0 seconds", 10**12)
+    run = out.writeStream.format("parquet").option("path", f"{store.folder}/out").option("checkpointLocation", f"{store.folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    first = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))).alias("first"))
+    found = spark.read.schema(out.schema).parquet(f"{store.folder}/out").crossJoin(F.broadcast(first))
+    return rounded(found.select("series", (F.unix_micros("at") - F.col("first")).alias("us"), "mean", "variance"), 6, "mean", "variance")
+
+
+QUERIES["event_filter"] = _event_filter
+ORACLES["event_filter"] = """WITH RECURSIVE s AS (SELECT user_id AS series, epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events) AS us, CAST(value AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS t FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND epoch_us(ts) < (SELECT epoch_ms(max(ts)) * 1000 FROM events)),
+f(series, us, t, mean, variance) AS (SELECT series, us, t, y, 400e0 FROM s WHERE t = 1 UNION ALL
+  SELECT s.series, s.us, s.t, 95e-2 * f.mean + g.v / (g.v + 400e0) * (s.y - 95e-2 * f.mean), (1e0 - g.v / (g.v + 400e0)) * g.v
+  FROM f JOIN s ON s.series = f.series AND s.t = f.t + 1, LATERAL (SELECT 9025e-4 * f.variance + 100e0 AS v) g)
+SELECT series, us, round(mean, 6) AS mean, round(variance, 6) AS variance FROM f"""
+
+
 def _smooth(spark, sf_dir):
     """Each trace as readings of one relaxing quantity: a pass forth and back, and the variances that EM draws from it."""
     import numpy as np
