@@ -3,13 +3,16 @@
 A log of events is partitioned by conversation and sorted by sequence; streamed deltas, edits and
 regenerations fold into the final messages, which a template renders. The fold is set-based: an event
 lives if no later regeneration starts at or before its message and no later event of its message
-resets the text, so windows decide it and a long conversation spills instead of growing one value.
+resets the text, so windows decide it and the fold of a long conversation spills.
 
 Events: conv_id, seq, kind, msg, role, text. kind is ``message`` (starts a message), ``delta``
 (appends), ``edit`` (replaces the text) or ``regenerate`` (drops this message and all after it, then
 starts it anew); any other or a null kind counts as ``message``. Nulls: a null text or role is empty,
 null conversation ids form one conversation, null sequences come first. Ties in seq are ordered by
-msg, role and text. A conversation without a living event gives no row.
+msg, role and text. A conversation without a living event gives no row. Repeated rows are separate events: a repeated
+delta is appended twice. Columns beyond these are dropped. An empty log gives an empty table. The fold's state spills; the
+formatted conversation is one value, so that a conversation must fit into a row (2 GB), and reading its mask back takes
+time in proportion to turns times characters.
 
 Template: ``<|turn|>role\\ntext<|end|>`` for each message. Control strings inside roles and texts are
 escaped with a backslash code that no text can forge, as the backslash itself is escaped. The loss

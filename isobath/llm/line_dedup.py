@@ -10,7 +10,7 @@ Nulls and empty texts: a null text stays null and an empty one empty, with nothi
 equal doc_id and text are one document and get the same result; rows of one doc_id with different
 texts are told apart by the text's MD5, smaller one first. A null doc_id comes first. Columns named
 like an output are replaced; all others pass through untouched, whatever their names. An empty table gives
-an empty one.
+an empty one. A text of any length is taken whole; its lines are rows of their own until it is put together again.
 
 Only DataFrame operations are used. Lines are hashed once over all texts, and again in documents that have a
 candidate. A hot chunk is pre-aggregated before each shuffle; whole texts are shuffled once by document, those

@@ -6,7 +6,7 @@ of seed and doc_id, so reruns and retried tasks agree.
 
 Nulls: a null text has size 0; null sources form one source that sorts last; rows without doc_id draw by
 their text. Rows with equal doc_id, and equal texts without one, draw alike. An empty table gives an empty
-result. Columns of docs pass through ``mix`` untouched, whatever their names; ``rates`` replaces those that are
+result. A text of any length counts whole. Columns of docs pass through ``mix`` untouched, whatever their names; ``rates`` replaces those that are
 named like one it adds.
 """
 

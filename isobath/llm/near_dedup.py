@@ -19,7 +19,7 @@ miss a pair with probability (1 - t**rows)**bands, 3e-6 with 32 bands of 5 rows
 Nulls and empty texts: n_shingles 0, linked with nothing. A row without doc_id is linked with nothing
 and has a null component. Rows with equal doc_id are each judged by their own set; where they stand for
 different sets, these share their links. Ties do not arise, as a component is named by its smallest
-doc_id. Extra columns play no part. An empty table gives an empty result.
+doc_id. A text of any length is taken whole, by one task at some 100 bytes a word. Extra columns play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
