@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isobath.operators import search
+from isobath.operators import electrodes, search
 from isobath.plans.relational import rounded
 from pyspark.sql import functions as F
 
@@ -37,3 +37,29 @@ ORACLES["nearest_customers"] = """SELECT obs_id, cell_id, CAST(rank AS BIGINT) A
   SELECT obs_id, cell_id, s, row_number() OVER (PARTITION BY obs_id ORDER BY s, cell_id) AS rank FROM (
     SELECT s_suppkey AS obs_id, c_custkey AS cell_id, (CAST(s_acctbal AS DOUBLE) - CAST(c_acctbal AS DOUBLE)) * (CAST(s_acctbal AS DOUBLE) - CAST(c_acctbal AS DOUBLE)) + (1e1 * s_suppkey - 1e0 * c_custkey) * (1e1 * s_suppkey - 1e0 * c_custkey) AS s
     FROM supplier, customer) a) b WHERE rank <= 3"""
+
+_PLACES = "SELECT s_suppkey AS electrode, 1e1 * s_suppkey AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier"
+_off = lambda k: f"(l_suppkey - lo + {k}) % n_electrodes + lo"
+#: Every arrangement of electrodes that line items name, once.
+_SURVEY = f"""SELECT concat_ws(' ', a, coalesce(CAST(b AS STRING), 'far'), m, coalesce(CAST(n AS STRING), 'far')) AS row, a, b, m, n FROM (
+  SELECT DISTINCT l_suppkey AS a, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE {_off(1)} END AS b, {_off('2 + l_linenumber % 5')} AS m, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE {_off('3 + l_linenumber % 5')} END AS n
+  FROM lineitem, (SELECT count(*) AS n_electrodes, min(s_suppkey) AS lo FROM supplier) c) d"""
+
+
+def _electrode_survey(spark, sf_dir):
+    """A measurement an arrangement: electrode b is at infinity in one of three line items, n in one of four."""
+    read = lambda text: spark.sql(text.replace("FROM lineitem", f"FROM parquet.`{sf_dir}/lineitem.parquet`").replace("FROM supplier", f"FROM parquet.`{sf_dir}/supplier.parquet`"))
+    schedule = read(_SURVEY)
+    poles = electrodes.pole_table(electrodes.pole_pairs(schedule), read(_PLACES), lambda r: electrodes.layered_pole(r, 100.0, 10.0, 15.0))
+    found = electrodes.measured(schedule, poles)
+    return found.select("row", *[(F.round(c, digits) + 0.0).alias(c) for c, digits in (("v", 5), ("factor", 1), ("apparent", 5))])
+
+
+_distance = "sqrt(power(s.x - t.x, 2) + power(s.y - t.y, 2))"
+_image = f"list_sum(list_transform(range(1, 21), lambda i: 2e0 * power(-9e1 / 11e1, i) / sqrt(power({_distance}, 2) + power(3e1 * i, 2))))"
+QUERIES["electrode_survey"] = _electrode_survey
+ORACLES["electrode_survey"] = f"""WITH e AS ({_PLACES}), q AS ({_SURVEY}),
+p AS (SELECT s.electrode AS i, t.electrode AS j, 1e0 / {_distance} AS g, 1e2 / (2e0 * pi()) * (1e0 / {_distance} + {_image}) AS v FROM e s, e t WHERE s.electrode <> t.electrode),
+w AS (SELECT row, coalesce(am.v, 0e0) - coalesce(bm.v, 0e0) - coalesce(an.v, 0e0) + coalesce(bn.v, 0e0) AS v, coalesce(am.g, 0e0) - coalesce(bm.g, 0e0) - coalesce(an.g, 0e0) + coalesce(bn.g, 0e0) AS g
+  FROM q LEFT JOIN p am ON am.i = a AND am.j = m LEFT JOIN p bm ON bm.i = b AND bm.j = m LEFT JOIN p an ON an.i = a AND an.j = n LEFT JOIN p bn ON bn.i = b AND bn.j = n)
+SELECT row, round(v, 5) + 0e0 AS v, round(CASE WHEN abs(g) > 1e-12 THEN 2e0 * pi() / g END, 1) + 0e0 AS factor, round(CASE WHEN abs(g) > 1e-12 THEN 2e0 * pi() / g END * v, 5) + 0e0 AS apparent FROM w"""

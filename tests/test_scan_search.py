@@ -89,3 +89,26 @@ def test_nearest_against_brute_force(spark, k, dims):
         want = sorted((sum((x - y) ** 2 for x, y in zip(p, c, strict=True)), j) for j, *c in cells if c[0] is not None)[:k]
         assert sorted(got[i]) == [(n, round(s, 6), j) for n, (s, j) in enumerate(want, 1)]
     assert search.nearest(frame(points, "obs_id"), frame(cells[:0] + [(1, *[None] * dims)], "cell_id"), k, tuple(names)).collect() == []
+
+
+def test_electrodes_at_infinity_and_missing_ones(spark):
+    from isobath.operators import electrodes
+
+    places = {k: (10.0 * k, float(k % 3)) for k in range(8)}
+    rows = [(1, 0, 1, 2, 3), (2, 0, None, 2, 3), (3, 0, None, 2, None), (4, 5, 4, 6, None), (5, None, None, 1, 2), (6, 0, 99, 2, 3), (7, 0, 1, 2, 3)]
+    schedule = spark.createDataFrame(rows, "row long, a long, b long, m long, n long")
+    table = spark.createDataFrame([(k, *p) for k, p in places.items()], "electrode long, x double, y double")
+    poles = electrodes.pole_table(electrodes.pole_pairs(schedule), table, lambda r: 50.0 / (2 * np.pi * r))
+    assert poles.count() == len({(s, r) for _, a, b, m, n in rows for s in (a, b) for r in (m, n)})
+    got = {r["row"]: r for r in electrodes.measured(schedule, poles, 2.0).collect()}
+
+    def v(i, j):
+        return 0.0 if i is None or j is None else 2.0 * 50.0 / (2 * np.pi * np.hypot(places[i][0] - places[j][0], places[i][1] - places[j][1]))
+
+    for k, a, b, m, n in rows:
+        if 99 in (a, b, m, n):
+            assert got[k].v is None and got[k].apparent is None
+            continue
+        want = v(a, m) - v(b, m) - v(a, n) + v(b, n)
+        assert np.isclose(got[k].v, want) and (got[k].apparent is None if want == 0 else np.isclose(got[k].apparent, 50.0))
+    assert "NestedLoop" not in electrodes.measured(schedule, poles)._jdf.queryExecution().executedPlan().toString()
