@@ -16,8 +16,10 @@ def pairs(stations: DataFrame, cells: DataFrame) -> DataFrame:
     """Every station with every cell: dx, dy, dz (station minus cell) and r.
 
     The product is the operator's meaning; no side is hinted, so the planner broadcasts one only below
-    its size limit, and the sums over it are pre-aggregated in the join's own stage.
+    its size limit, and the sums over it are pre-aggregated in the join's own stage. Rows with a null coordinate
+    have no place and are left out.
     """
+    stations, cells = (t.dropna(subset=["x", "y", "z"]) for t in (stations, cells))
     s = stations.select("obs_id", *[F.col(c).alias(f"s{c}") for c in "xyz"])
     d = [F.col(f"s{c}") - F.col(c) for c in "xyz"]
     made = s.crossJoin(cells).withColumns({f"d{c}": v for c, v in zip("xyz", d, strict=True)}).drop("sx", "sy", "sz")

@@ -7,7 +7,7 @@ import math
 from isobath.functions import atmosphere, ocean, potential
 from isobath.functions import scattering
 from isobath.functions.algebra import Sql
-from isobath.operators import fields, grids, profiles, spectra
+from isobath.operators import fields, grids, profiles, spectra, tree
 from isobath.plans.views import view, view_sql
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -190,6 +190,16 @@ _forward("magnetic_vector", {f"b{n}": (lambda d, r, v, n=n: potential.magnetic_v
 _forward("magnetic_gradient", {f"b{n}": (lambda d, r, v, n=n: potential.magnetic_gradient(d, r, v, B, n), "kappa") for n in MG}, 5)
 
 
+def _far_field(spark, sf_dir):
+    """gravity_anomaly by the octree, to the digits that the distant boxes keep."""
+    found = tree.forward(view(spark, sf_dir, "station"), view(spark, sf_dir, "cell"), {"gz": (potential.gravity, "rho")}, theta=0.3, order=5)
+    return rounded(found, 3, "gz")
+
+
+QUERIES["gravity_far_field"] = _far_field
+ORACLES["gravity_far_field"] = ORACLES["gravity_anomaly"].replace(", 6) AS gz", ", 3) AS gz")
+
+
 _zz = Sql.of(potential.gravity_gradient([Sql(f"d{c}") for c in "xyz"], Sql("r"), Sql("volume"), "zz"))
 
 
