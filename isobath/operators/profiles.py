@@ -15,15 +15,17 @@ EASYRO_RATE, GAS_CONSTANT, SECONDS_A_MYR = 1.0e13, 0.0019872041, 1.0e6 * 365.25
 def interpolate(profile: DataFrame, grid: DataFrame, key: str, z: str, v: str) -> DataFrame:
     """Linear interpolation of (key, z, v) at the (key, z) of grid, clamped at the ends.
 
-    Grid and nodes are sorted together once per key; two running windows bring each grid point its
-    neighbours, so a long profile costs a sort instead of an interval join's pairs.
+    Grid and nodes are sorted together per key, up and down; a running window each way brings each grid point its
+    neighbours, so a long profile costs two sorts instead of an interval join's pairs. (A frame that ends at the last
+    row would be summed up anew for every row.)
     """
     nodes = profile.select(key, z, F.col(v).alias("_v"), F.lit(0).alias("_grid"))
     both = nodes.unionByName(grid.select(key, z, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_grid")))
     order = Window.partitionBy(key).orderBy(z, "_grid")
     node = F.when(F.col("_grid") == 0, F.struct(F.col(z).alias("z"), F.col("_v").alias("v")))
     below = F.last(node, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(node, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(key).orderBy(F.col(z).desc(), F.col("_grid").desc())
+    above = F.last(node, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     part = (F.col(z) - F.col("_b.z")) / (F.col("_a.z") - F.col("_b.z"))
     value = F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNull() | (F.col("_b.z") == F.col(z)), F.col("_b.v")).otherwise(F.col("_b.v") + part * (F.col("_a.v") - F.col("_b.v")))
     return both.withColumn("_b", below).withColumn("_a", above).filter("_grid = 1").select(key, z, value.alias(v))
