@@ -61,12 +61,12 @@ def tiles(cells: DataFrame, radius: float, value: str) -> DataFrame:
 
 
 def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """For each station the nearest cell, the smaller id of ties; by growing rings of boxes."""
+    """For each station the nearest cell, the smaller id of ties; by a tree of boxes."""
     return search.nearest(points, cells).drop("rank")
 
 
 def top_tiles(points: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """The k nearest cells of each station, ranked; by growing rings of boxes."""
+    """The k nearest cells of each station, ranked; by a tree of boxes."""
     return search.nearest(points, cells, k)
 
 

@@ -1,4 +1,4 @@
-"""Searches by equality of keys: interval joins by buckets of adaptive width, exact nearest neighbours by growing rings."""
+"""Searches by equality of keys: interval joins by buckets of adaptive width, exact nearest neighbours by a tree of boxes."""
 
 from __future__ import annotations
 
@@ -50,54 +50,85 @@ def _distance(axes: list[str]) -> Column:
     return reduce(lambda x, y: x + y, [x * x for x in d])
 
 
+#: Boxes that every point looks at first, at most; members of the fullest box at which the boxes are fine enough.
+FIRST_BOXES, FULL_BOX = 16, 16
+
+
+def _bounds(axes: list[str]) -> tuple[Column, Column, Column]:
+    """Squares of: the distance under which a box (lo, hi) holds nothing, that within which it holds one cell, and all.
+
+    The box is tight, so each of its faces touches a cell: one lies no farther than the farthest corner of its nearest face.
+    """
+    square = lambda x: x * x
+    p, lo, hi = ([F.col(f"{n}_{a}") for a in axes] for n in ("p", "lo", "hi"))
+    total = lambda xs: reduce(lambda x, y: x + y, xs)
+    low = total([square(F.greatest(b - x, x - t, F.lit(0.0))) for x, b, t in zip(p, lo, hi, strict=True)])
+    edge = [square(F.greatest(F.abs(x - b), F.abs(x - t))) for x, b, t in zip(p, lo, hi, strict=True)]
+    face = [square(F.least(F.abs(x - b), F.abs(x - t))) for x, b, t in zip(p, lo, hi, strict=True)]
+    one = [total([face[j] if i == j else edge[j] for j in range(len(axes))]) for i in range(len(axes))]
+    return low, F.least(*one) if len(one) > 1 else one[0], total(edge)
+
+
+def _promising(seen: DataFrame, axes: list[str], k: int) -> DataFrame:
+    """The rows (obs_id, p_.., n, lo_.., hi_..) whose box may hold one of the k cells nearest to its point."""
+    point = Window.partitionBy("obs_id")
+    rows = seen.withColumns(dict(zip(("_low", "_one", "_all"), _bounds(axes), strict=True)))
+    if k == 1:
+        rows = rows.withColumn("_bound", F.min("_one").over(point))
+    else:
+        # k boxes with a cell each within "_one", or boxes with k cells together within "_all"
+        rows = rows.withColumn("_boxes", F.row_number().over(point.orderBy("_one"))).withColumn("_held", F.sum("n").over(point.orderBy("_all").rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("_bound", F.least(F.min(F.when(F.col("_boxes") >= k, F.col("_one"))).over(point), F.min(F.when(F.col("_held") >= k, F.col("_all"))).over(point)))
+    return rows.filter(F.col("_low") <= F.col("_bound") * (1.0 + 1e-9))
+
+
 def nearest(points: DataFrame, cells: DataFrame, k: int = 1, axes: tuple[str, ...] = ("x", "y", "z"), size: float | None = None, most: int = 40) -> DataFrame:
     """(obs_id, cell_id, rank, distance) of the k nearest cells of every point, the smaller id of equal ones first.
 
-    Space is cut into boxes, of a size at which a box holds some k cells where they lie evenly. A point first looks at the
-    boxes around its own; if k cells lie nearer than the edge of what it has seen, it is settled, as nothing unseen can
-    be nearer. Only unsettled points look again, at boxes twice as large; a point far from all cells needs as many rounds
-    as the logarithm of its distance, and meets in the last what the large boxes hold. All joins are by equality of boxes. Of
-    cells at one place only the k of smallest id can be among the nearest, so no others are kept.
+    Space is halved along each axis again and again, and of every box that holds a cell the tight bounds and the number of
+    cells are kept. A point goes down from the large boxes: at each level it keeps those that may hold one of its k cells,
+    as the others begin behind k cells that are sure, and meets their halves by equality. So a point far from all
+    cells looks at few boxes a level as well. The finest boxes, of ``size`` or such that they hold some k cells where they lie
+    evenly and a few more where not, are opened. ``most`` is the greatest number of levels. Of cells at
+    one place only the k of smallest id can be among the nearest, so no others are kept.
 
     Rows of equal obs_id must be one point. Points and cells with a null coordinate are left out. With fewer than k cells
-    all are ranked. ArithmeticError after ``most`` rounds.
+    all are ranked.
     """
     axes = list(axes)
-    store = Store(points.sparkSession, "nearest")
+    spark = points.sparkSession
+    store = Store(spark, "nearest")
     p = points.select("obs_id", *[F.col(a).cast("double").alias(f"p_{a}") for a in axes]).dropna(subset=[f"p_{a}" for a in axes]).dropDuplicates(["obs_id"])
     placed = cells.select("cell_id", *[F.col(a).cast("double").alias(f"c_{a}") for a in axes]).dropna(subset=[f"c_{a}" for a in axes])
     there = Window.partitionBy(*[f"c_{a}" for a in axes]).orderBy("cell_id")
     c = store(placed.withColumn("place", F.row_number().over(there)).filter(F.col("place") <= max(k, 1)).drop("place"))
     ends = c.agg(F.count("*").alias("n"), *[f(f"c_{a}").alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    empty = p.select("obs_id", F.lit(None).cast("long").alias("cell_id"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("distance")).limit(0)
     if not ends.n or k < 1:
-        return empty
+        return p.select("obs_id", F.lit(None).cast("long").alias("cell_id"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("distance")).limit(0)
+    wanted = min(k, ends.n)
     spans = [s for a in axes if (s := ends[f"hi_{a}"] - ends[f"lo_{a}"]) > 0]
-    if size is None:
-        size = (math.prod(spans) * min(k, ends.n) / ends.n) ** (1 / len(spans)) if spans else 1.0
-    wanted, done, open_ = min(k, ends.n), [], store(p)
-    near = [F.lit(float(x)) for x in (-1, 0, 1)]
-    for _ in range(most):
-        left = open_.count()
-        if not left:
-            break
-        box = lambda x: F.floor(F.col(x) / size).cast("double")  # noqa: E731, B023
-        looking = reduce(lambda df, a: df.withColumn(f"b_{a}", F.explode(F.array(*[box(f"p_{a}") + n for n in near]))), axes, open_)  # noqa: B023
-        own = c.select("*", *[box(f"c_{a}").alias(f"b_{a}") for a in axes])
-        met = looking.join(own, [f"b_{a}" for a in axes]).select("obs_id", "cell_id", _distance(axes).alias("s"))
-        order = Window.partitionBy("obs_id").orderBy("s", "cell_id")
-        best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wanted)
-        # what is unseen lies at least as far as the outer faces of the boxes looked at
-        sides = [x for a in axes for x in (F.col(f"p_{a}") - (box(f"p_{a}") - 1) * size, (box(f"p_{a}") + 2) * size - F.col(f"p_{a}"))]
-        edge = open_.select("obs_id", F.least(*sides).alias("edge"))
-        held = best.groupBy("obs_id").agg(F.count("*").alias("n"), F.max("s").alias("far"), F.sort_array(F.collect_list(F.struct("rank", "cell_id", "s"))).alias("found"))
-        seen = store(edge.join(held, "obs_id", "left").withColumn("settled", F.coalesce((F.col("n") == wanted) & (F.col("far") < F.col("edge") * F.col("edge")), F.lit(False))))
-        done.append(seen.filter("settled").select("obs_id", F.explode("found").alias("f")))
-        open_ = store(open_.join(seen.filter("not settled").select("obs_id"), "obs_id", "left_semi"))
-        size *= 2
-    else:
-        raise ArithmeticError(f"{left} points are not settled after {most} rounds")
-    if not done:
-        return empty
-    rows = reduce(DataFrame.unionByName, done)
-    return rows.select("obs_id", F.col("f.cell_id").alias("cell_id"), F.col("f.rank").cast("long").alias("rank"), F.sqrt("f.s").alias("distance"))
+    span = max(spans, default=1.0)
+    fine = size or (math.prod(spans) * wanted / ends.n) ** (1 / len(spans)) if spans else 1.0
+    deep = max(0, min(most, math.ceil(math.log2(span / fine)) + (3 if size is None else 0)))
+    boxed = c.withColumns({f"b_{a}": F.least(F.floor((F.col(f"c_{a}") - ends[f"lo_{a}"]) / span * float(2**deep)), F.lit(2**deep - 1)).cast("long") for a in axes})
+    keys = [f"b_{a}" for a in axes]
+    at = lambda df, level: df.withColumns({b: F.floor(F.col(b) / 2.0 ** (deep - level)) for b in keys})
+    every = boxed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deep)))).withColumns({b: F.floor(F.col(b) / F.pow(F.lit(2.0), deep - F.col("level"))) for b in keys})
+    tree = every.groupBy("level", *keys).agg(F.count("*").alias("n"), *[f(f"c_{a}").alias(f"{n}_{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))])
+    tree.write.partitionBy("level").parquet(f"{store.folder}/boxes")
+    tree = spark.read.parquet(f"{store.folder}/boxes")
+    # a row a level: how many boxes it has and how many cells the fullest holds
+    levels = sorted(tuple(r) for r in tree.groupBy("level").agg(F.count("*"), F.max("n")).collect())
+    first = max(level for level, boxes, _ in levels if level == 0 or boxes <= FIRST_BOXES)
+    last = max(first, next((level for level, _, full in levels if full <= max(FULL_BOX, wanted)), deep))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own = lambda level: tree.filter(F.col("level") == level).drop("level")
+    looking = _promising(p.repartition(parts, "obs_id").crossJoin(F.broadcast(own(first))), axes, wanted)
+    kept = ["obs_id", *[f"p_{a}" for a in axes]]
+    for level in range(first + 1, last + 1):
+        halves = own(level).withColumns({f"up_{b}": F.floor(F.col(b) / 2.0) for b in keys})
+        above = looking.select(*kept, *[F.col(b).alias(f"up_{b}") for b in keys])
+        looking = _promising(above.join(halves, [f"up_{b}" for b in keys]), axes, wanted)
+    met = looking.select(*kept, *keys).join(at(boxed, last), keys).select("obs_id", "cell_id", _distance(axes).alias("s"))
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("obs_id").orderBy("s", "cell_id"))).filter(F.col("rank") <= wanted)
+    return best.select("obs_id", "cell_id", F.col("rank").cast("long").alias("rank"), F.sqrt("s").alias("distance"))
