@@ -43,21 +43,26 @@ def depth_weights(cells: DataFrame, z0: float, nu: float = 3.0, eps: float | Non
     return raw.crossJoin(F.broadcast(top)).withColumn("weight", F.col("w") / F.col("top")).drop("w", "top", "eps")
 
 
-def near(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
-    """Pairs (a, b) of cell ids within a distance: cells of the radius' size meet their neighbours by equality."""
+def near(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b, distance) of cell ids within a distance, with columns of the right; boxes of the radius' size meet by equality.
+
+    A box is repeated for its neighbours. The planner takes the repeated rows for no more than the table itself and
+    would send them to all machines by way of the driver, so the join is by sorting.
+    """
     box = [F.floor(F.col(c) / radius).alias(f"b{c}") for c in axes]
     own = left.select(F.col("cell_id").alias("a"), *[F.col(c).alias(f"a{c}") for c in axes], *box)
-    other = right.select(F.col("cell_id").alias("b"), *[F.col(c).alias(f"o{c}") for c in axes], *box)
+    other = right.select(F.col("cell_id").alias("b"), *[F.col(c).alias(f"o{c}") for c in axes], *box, *[F.col(c).alias(f"_{c}") for c in keep])
     for c in axes:
-        other = other.withColumn(f"b{c}", F.explode(F.array(*[F.col(f"b{c}") + k for k in (-1, 0, 1)])))
+        own = own.withColumn(f"b{c}", F.explode(F.array(*[F.col(f"b{c}") + k for k in (-1, 0, 1)])))
     square = sum(((F.col(f"a{c}") - F.col(f"o{c}")) * (F.col(f"a{c}") - F.col(f"o{c}")) for c in axes), F.lit(0.0))
-    return own.join(other, [f"b{c}" for c in axes]).withColumn("distance", F.sqrt(square)).filter(F.col("distance") <= radius).select("a", "b", "distance")
+    met = own.join(other.hint("merge"), [f"b{c}" for c in axes]).withColumn("distance", F.sqrt(square)).filter(F.col("distance") <= radius)
+    return met.select("a", "b", "distance", *[F.col(f"_{c}").alias(c) for c in keep])
 
 
 def tiles(cells: DataFrame, radius: float, value: str) -> DataFrame:
     """A tile per cell: its members' number and mean."""
-    members = near(cells, cells, radius)
-    return members.join(cells.select(F.col("cell_id").alias("b"), F.col(value).alias("v")), "b").groupBy(F.col("a").alias("tile")).agg(F.count("*").alias("members"), F.avg("v").alias("mean"))
+    members = near(cells, cells.withColumn("v", F.col(value)), radius, keep=("v",))
+    return members.groupBy(F.col("a").alias("tile")).agg(F.count("*").alias("members"), F.avg("v").alias("mean"))
 
 
 def nearest(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def tile_readings(keys: DataFrame, cells: DataFrame, radius: float, value: str,
     if fidelity not in ("coarse", "fine"):
         raise ValueError("fidelity must be coarse or fine")
     centres = cells.join(keys.select("cell_id").distinct(), "cell_id", "left_semi")
-    members = near(centres, cells, radius).join(cells.select(F.col("cell_id").alias("b"), F.col(value).alias("v")), "b")
+    members = near(centres, cells.withColumn("v", F.col(value)), radius, keep=("v",))
     r = F.lit(float((1.0 if fidelity == "coarse" else 0.05) if sd is None else sd) ** 2).alias("r")
     if fidelity == "fine":
         rows = members.select(F.lit("raw").alias("name"), F.concat_ws(":", "a", "b").alias("row"), F.col("b").alias("i"), F.lit(1.0).alias("h"), r, F.col("v").alias("y"))
