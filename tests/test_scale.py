@@ -18,3 +18,32 @@ def test_interpolation_looks_ahead_by_running_frames(spark):
     assert "unboundedfollowing" not in plan(out)
     got = dict(out.select("z", "v").collect())
     assert all(np.isclose(got[a], np.interp(a, z, v)) for a in at)
+
+
+def test_near_sends_no_repeated_rows_by_the_driver(spark):
+    from isobath.operators import fields
+
+    cells = spark.range(60).selectExpr("id AS cell_id", "double(id % 5) AS x", "double(id div 5) AS y", "0e0 AS z", "double(id) AS v")
+    out = fields.tiles(cells, 1.5, "v")
+    assert "Broadcast" not in plan(out)
+    at = [(i % 5, i // 5) for i in range(60)]
+    for tile, members, mean in out.collect():
+        inside = [j for j in range(60) if (at[j][0] - at[tile][0]) ** 2 + (at[j][1] - at[tile][1]) ** 2 <= 2.25]
+        assert members == len(inside) and np.isclose(mean, np.mean(inside))
+
+
+def test_points_far_from_all_cells_look_at_few(spark):
+    """On a long column of cells: six halvings do, where six growing rings did not reach the cells."""
+    from isobath.operators import search
+
+    cells = spark.range(4000).selectExpr("id AS cell_id", "double(id % 4) AS x", "0e0 AS y", "-double(id div 4) AS z")
+    points = spark.range(300).selectExpr("id AS obs_id", "double(id % 4) AS x", "1e3 + 1e2 * id AS y", "-double(id) AS z")
+    out = search.nearest(points, cells, 2, most=6)
+    rows = out.collect()
+    assert len(rows) == 600
+    got = {(r.obs_id, r["rank"]): (r.cell_id, r.distance) for r in rows}
+    xyz = np.array([(i % 4, 0, -(i // 4)) for i in range(4000)], float)
+    for i in range(300):
+        s = ((xyz - (i % 4, 1e3 + 1e2 * i, -i)) ** 2).sum(1)
+        for rank, j in enumerate(sorted(range(4000), key=lambda j: (s[j], j))[:2], 1):
+            assert got[i, rank][0] == j and np.isclose(got[i, rank][1], np.sqrt(s[j]))
