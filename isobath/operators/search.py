@@ -1,4 +1,4 @@
-"""Searches by equality of keys: interval joins by buckets of adaptive width, exact nearest neighbours by a tree of boxes."""
+"""Searches by equality of keys: interval joins by buckets of adaptive width, sums over intervals by running sums, exact nearest neighbours by a tree of boxes."""
 
 from __future__ import annotations
 
@@ -45,6 +45,53 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
     return met.drop("_level", "_bucket", "_salt")
 
 
+def interval_sums(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of intervals that hold points, with their number n, the sums of whole-number columns and the smallest ``at`` as first.
+
+    What an interval holds is the difference of running sums at its ends, so no pairs are made, however many points wide
+    intervals hold. Points are summed up by place and sorted into ranges; ends go to the range they fall in, before or
+    after the points at their own place, and a running window in each range and the totals of the ranges before give the sums.
+    Only integers are summed, as differences of running sums of fractions would lose digits. Nulls and intervals with high
+    under low hold nothing; equal rows stay as many as they are.
+    """
+    if clash := {"n", "first", *sums} & set(intervals.columns):
+        raise ValueError(f"columns on both sides: {', '.join(sorted(clash))}")
+    if bad := [c for c in sums if dict(points.dtypes)[c] not in ("tinyint", "smallint", "int", "bigint")]:
+        raise ValueError(f"not whole numbers: {', '.join(bad)}")
+    spark, held = points.sparkSession, ["_n", *[f"_{c}" for c in sums]]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    store = Store(spark, "intervals")
+    given = points.filter(F.col(at).isNotNull()).groupBy((F.col(at).cast("double") + 0.0).alias("_x"))
+    placed = given.agg(F.count("*").alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"_{c}") for c in sums])
+    placed = store(placed.repartitionByRange(parts, "_x").withColumn("_part", F.spark_partition_id()))
+    # a row a range
+    ranges = placed.groupBy("_part").agg(F.min("_x").alias("_least"), *[F.sum(c).alias(c) for c in held]).orderBy("_least").collect()
+    before, starts, total = [], [], [0] * len(held)
+    for k, r in enumerate(ranges):
+        starts.append(r["_least"])
+        before.append((r["_part"], *total, ranges[k + 1]["_least"] if k + 1 < len(ranges) else None))
+        total = [a + r[c] for a, c in zip(total, held, strict=True)]
+    ends = intervals.filter(F.col(high) >= F.col(low)).select(F.col(low).cast("double").alias("_low"), F.col(high).cast("double").alias("_high")).distinct()
+    if not ranges:
+        return intervals.select("*", F.lit(0).cast("long").alias("n"), *[F.lit(0).cast("long").alias(c) for c in sums], F.lit(0.0).alias("first")).limit(0)
+    numbers = F.array(*[F.lit(int(r["_part"])) for r in ranges])
+    nth = F.greatest(F.size(F.filter(F.array(*[F.lit(float(x)) for x in starts]), lambda x: x <= F.col("_x"))), F.lit(1))
+    side = F.explode(F.array(F.struct((F.col("_low") + 0.0).alias("_x"), F.lit(0).alias("_side")), F.struct((F.col("_high") + 0.0).alias("_x"), F.lit(2).alias("_side")))).alias("_e")
+    dealt = ends.select("_low", "_high", side).select("_low", "_high", "_e.*").withColumn("_part", F.element_at(numbers, nth))
+    both = placed.withColumn("_side", F.lit(1)).unionByName(dealt, allowMissingColumns=True)
+    up = Window.partitionBy("_part").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_part").orderBy(F.col("_x").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumns({f"{c}_up": F.coalesce(F.sum(c).over(up), F.lit(0)) for c in held}).withColumn("_next", F.last(F.when(F.col("_side") == 1, F.col("_x")), ignorenulls=True).over(down))
+    offsets = spark.createDataFrame(before, ", ".join(["_part int", *[f"{c}_off long" for c in held], "_after double"]))
+    known = run.filter(F.col("_side") != 1).join(F.broadcast(offsets), "_part")
+    sign = F.when(F.col("_side") == 2, 1).otherwise(-1)
+    inside = [F.sum(sign * (F.col(f"{c}_up") + F.col(f"{c}_off"))).alias(c) for c in held]
+    first = F.min(F.when(F.col("_side") == 0, F.coalesce("_next", "_after"))).alias("_first")
+    found = known.groupBy("_low", "_high").agg(*inside, first).filter(F.col("_n") > 0)
+    made = intervals.withColumns({"_low": F.col(low).cast("double"), "_high": F.col(high).cast("double")}).join(found, ["_low", "_high"])
+    return made.select(*intervals.columns, F.col("_n").alias("n"), *[F.col(f"_{c}").alias(c) for c in sums], F.col("_first").alias("first"))
+
+
 def _distance(axes: list[str]) -> Column:
     d = [F.col(f"p_{a}") - F.col(f"c_{a}") for a in axes]
     return reduce(lambda x, y: x + y, [x * x for x in d])

@@ -47,3 +47,21 @@ def test_points_far_from_all_cells_look_at_few(spark):
         s = ((xyz - (i % 4, 1e3 + 1e2 * i, -i)) ** 2).sum(1)
         for rank, j in enumerate(sorted(range(4000), key=lambda j: (s[j], j))[:2], 1):
             assert got[i, rank][0] == j and np.isclose(got[i, rank][1], np.sqrt(s[j]))
+
+
+def test_interval_sums_make_no_pairs(spark):
+    import random
+
+    from isobath.operators import search
+
+    rng = random.Random(2)
+    pts = [(k, float(rng.randrange(-40, 40)) / 2) for k in range(400)] + [(900, None), (None, 3.0)]
+    bands = [(k, *sorted((rng.randrange(-50, 50) / 2, rng.randrange(-50, 50) / 2))) for k in range(150)] + [(200, 5.0, 5.0), (200, 5.0, 5.0), (201, 6.0, 2.0), (202, None, 1.0), (203, 1.0, None), (204, -99.0, -98.0), (205, -1e9, 1e9)]
+    points, frame = spark.createDataFrame(pts, "p long, at double"), spark.createDataFrame(bands, "b long, low double, high double")
+    want = []
+    for b, lo, hi in bands:
+        if None not in (lo, hi) and (inside := [(k or 0, x) for k, x in pts if x is not None and lo <= x <= hi]):
+            want.append((b, len(inside), sum(k for k, _ in inside), min(x for _, x in inside)))
+    out = search.interval_sums(points, frame, "at", "low", "high", ("p",))
+    assert sorted(out.select("b", "n", "p", "first").collect()) == sorted(want)
+    assert search.interval_sums(points.limit(0), frame, "at", "low", "high", ("p",)).collect() == []
