@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,61 @@ def pairs(stations: DataFrame, cells: DataFrame) -> DataFrame:
     return made.withColumn("r", potential.distance([F.col(f"d{c}") for c in "xyz"]))
 
 
-def forward(stations: DataFrame, cells: DataFrame, kernels: dict[str, tuple[Callable[..., Column], str]]) -> DataFrame:
-    """Sums over the cells of kernel(d, r, volume) times a property, per station; one pass for all kernels."""
-    d = [F.col(f"d{c}") for c in "xyz"]
-    sums = [F.sum(kernel(d, F.col("r"), F.col("volume")) * F.col(prop)).alias(name) for name, (kernel, prop) in kernels.items()]
-    return pairs(stations, cells).groupBy("obs_id").agg(*sums)
+#: Stations and cells of a block of the product, at most; stations and cells of the tile that is worked on at once.
+STATIONS, CELLS, FEW_CELLS = 16_384, 32_768, 2_048
+TILE = (32, 2_048)
+
+
+def block_sums(xyz: np.ndarray, cells: np.ndarray, volume: np.ndarray, parts: list[tuple[Callable, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each (kernel, property, rows that count): sums over the cells of kernel times property, per station of xyz."""
+    out = [np.zeros(len(xyz)) for _ in parts]
+    for c in range(0, len(cells), TILE[1]):
+        here = slice(c, c + TILE[1])
+        x, v = cells[here], volume[here]
+        masses = [np.where(counts[here], prop[here], 0.0) for _, prop, counts in parts]
+        for s in range(0, len(xyz), TILE[0]):
+            d = [xyz[s : s + TILE[0], a, None] - x[None, :, a] for a in range(3)]
+            r = potential.distance(d)
+            for total, mass, (kernel, _, _) in zip(out, masses, parts, strict=True):
+                total[s : s + TILE[0]] += kernel(d, r, v) @ mass
+    return out
+
+
+def forward(stations: DataFrame, cells: DataFrame, kernels: dict[str, tuple[Callable, str]], count: str | None = None) -> DataFrame:
+    """Sums over the cells of kernel(d, r, volume) times a property, per station; one pass for all kernels.
+
+    ``count`` names a column for the number of cells. The product is the operator's meaning. Stations and cells are dealt to blocks,
+    every two blocks meet by equality as one group of bounded size, which numpy sums up in tiles, and the blocks' sums are
+    added up by station. Rows with a null coordinate have no place and are left out; products with null count for nothing.
+    """
+    stations, cells = (t.dropna(subset=["x", "y", "z"]) for t in (stations, cells))
+    props = sorted({p for _, p in kernels.values()})
+    there = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    s = stations.select("obs_id", *there)
+    c = cells.select(*there, F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"), *[F.coalesce(F.col(p).cast("double"), F.lit(0.0)).alias(f"p{k}") for k, p in enumerate(props)], *[(F.col("volume").isNotNull() & F.col(p).isNotNull()).alias(f"ok{k}") for k, p in enumerate(props)], F.xxhash64(*[F.col(n) for n in cells.columns]).alias("deal"))
+    cores = stations.sparkSession.sparkContext.defaultParallelism
+    n_stations, n_cells = s.count(), c.count()
+    rows = max(1, math.ceil(n_stations / STATIONS))
+    columns = max(1, math.ceil(n_cells / min(CELLS, max(FEW_CELLS, n_cells * rows // (4 * cores)))))
+    s = s.withColumn("sb", F.pmod(F.xxhash64("obs_id", "x", "y", "z"), F.lit(rows)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    c = c.withColumn("cb", F.pmod("deal", F.lit(columns)).cast("int")).drop("deal").withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    spread = min(rows * columns, 16 * cores)
+    s, c = (t.repartition(spread, "sb", "cb") for t in (s, c))
+    obs = stations.schema["obs_id"].dataType.simpleString()
+    names = [f"s{k}" for k in range(len(kernels))]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers = lambda t, n: t.column(n).to_numpy()
+        xyz, at = (np.stack([numbers(t, a) for a in "xyz"], 1) for t in (left, right))
+        parts = [(kernel, numbers(right, f"p{props.index(p)}"), numbers(right, f"ok{props.index(p)}").astype(bool)) for kernel, p in kernels.values()]
+        sums = block_sums(xyz, at, numbers(right, "volume"), parts) if len(at) else []
+        made = [pa.array(x) if counts.any() else pa.nulls(len(xyz), pa.float64()) for x, (_, _, counts) in zip(sums, parts, strict=True)] if len(at) else [pa.nulls(len(xyz), pa.float64())] * len(parts)
+        return pa.table([left.column("obs_id"), *made, pa.array(np.full(len(xyz), len(at)))], ["obs_id", *names, "cells"])
+
+    met = s.groupBy("sb", "cb").cogroup(c.groupBy("sb", "cb")).applyInArrow(meet, ", ".join([f"obs_id {obs}", *[f"{n} double" for n in names], "cells long"]))
+    made = met.groupBy("obs_id").agg(*[F.sum(n).alias(k) for n, k in zip(names, kernels, strict=True)], F.sum("cells").alias("_cells"))
+    made = made.filter("_cells > 0")
+    return made.withColumnRenamed("_cells", count) if count else made.drop("_cells")
 
 
 def depth_weights(cells: DataFrame, z0: float, nu: float = 3.0, eps: float | None = None) -> DataFrame:

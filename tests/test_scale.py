@@ -65,3 +65,24 @@ def test_interval_sums_make_no_pairs(spark):
     out = search.interval_sums(points, frame, "at", "low", "high", ("p",))
     assert sorted(out.select("b", "n", "p", "first").collect()) == sorted(want)
     assert search.interval_sums(points.limit(0), frame, "at", "low", "high", ("p",)).collect() == []
+
+
+def test_forward_meets_in_bounded_blocks(spark, monkeypatch):
+    from isobath.functions import potential
+    from isobath.operators import fields
+
+    for name, value in (("STATIONS", 7), ("CELLS", 40), ("FEW_CELLS", 10)):
+        monkeypatch.setattr(fields, name, value)
+    rng = np.random.default_rng(1)
+    s, c, m = rng.normal(size=(30, 3)) * 100, rng.normal(size=(200, 3)) * 100, rng.normal(size=200)
+    stations = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(s)] + [(0, *map(float, s[0])), (99, None, 0.0, 0.0)], "obs_id long, x double, y double, z double")
+    cells = spark.createDataFrame([(k, *map(float, x), 2.0, float(y) if k % 9 else None) for k, (x, y) in enumerate(zip(c, m, strict=True))] + [(900, None, 0.0, 0.0, 1.0, 1.0)], "cell_id long, x double, y double, z double, volume double, rho double")
+    out = fields.forward(stations, cells, {"gz": (potential.gravity, "rho")}, "cells")
+    assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+    d = s[:, None] - c[None]
+    want = (np.where(np.arange(200) % 9, m, 0.0) * potential.gravity([d[..., k] for k in range(3)], np.sqrt((d**2).sum(2)), 2.0)).sum(1)
+    want[0], got = 2 * want[0], {r.obs_id: r for r in out.collect()}
+    assert got.keys() == set(range(30)) and all(np.isclose(got[k].gz, want[k]) and got[k].cells == 200 * (2 if k == 0 else 1) for k in got)
+    nothing = fields.forward(stations, cells.filter("rho IS NULL"), {"gz": (potential.gravity, "rho")}).collect()
+    assert len(nothing) == 30 and all(r.gz is None for r in nothing)
+    assert fields.forward(stations, cells.limit(0), {"gz": (potential.gravity, "rho")}).collect() == []
