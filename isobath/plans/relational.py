@@ -206,11 +206,10 @@ _zz = Sql.of(potential.gravity_gradient([Sql(f"d{c}") for c in "xyz"], Sql("r"),
 @query("trace_free_check", f"SELECT obs_id, CAST(count(*) AS BIGINT) AS cells, round(sum({_zz} * rho), 4) AS zz, round(sum({_zz} * rho), 4) AS left_of_xx_yy FROM {_pairs_sql} GROUP BY obs_id")
 def trace_free_check(spark, sf_dir):
     """The gradient tensor has no trace: zz, and what xx and yy leave of it, both against zz in SQL."""
-    d = [F.col(f"d{c}") for c in "xyz"]
-    g = lambda n: potential.gravity_gradient(d, F.col("r"), F.col("volume"), n)
-    made = fields.pairs(view(spark, sf_dir, "station"), view(spark, sf_dir, "cell"))
-    left = potential.trace_free_zz(g("xx"), g("yy"))
-    return made.groupBy("obs_id").agg(F.count("*").alias("cells"), F.round(F.sum(g("zz") * F.col("rho")), 4).alias("zz"), F.round(F.sum(left * F.col("rho")), 4).alias("left_of_xx_yy"))
+    g = potential.gravity_gradient
+    kernels = {"zz": (lambda d, r, v: g(d, r, v, "zz"), "rho"), "left_of_xx_yy": (lambda d, r, v: potential.trace_free_zz(g(d, r, v, "xx"), g(d, r, v, "yy")), "rho")}
+    made = fields.forward(view(spark, sf_dir, "station"), view(spark, sf_dir, "cell"), kernels, "cells")
+    return rounded(made.select("obs_id", "cells", *kernels), 4, *kernels)
 
 
 @query(
