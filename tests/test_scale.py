@@ -86,3 +86,18 @@ def test_forward_meets_in_bounded_blocks(spark, monkeypatch):
     nothing = fields.forward(stations, cells.filter("rho IS NULL"), {"gz": (potential.gravity, "rho")}).collect()
     assert len(nothing) == 30 and all(r.gz is None for r in nothing)
     assert fields.forward(stations, cells.limit(0), {"gz": (potential.gravity, "rho")}).collect() == []
+
+
+def test_smoothing_one_number_takes_no_matrices(monkeypatch):
+    """Equal to the matrix form of two equal independent states, which has the same q and r; no solver is called."""
+    from isobath.operators import inference
+
+    y = np.cumsum(np.random.default_rng(4).normal(size=80)) + np.random.default_rng(5).normal(size=80)
+    for most in (1, 5):
+        both = inference.kalman_smooth(np.stack([y, y], 1), 0.9 * np.eye(2), most=most)
+        with monkeypatch.context() as m:
+            m.setattr(np.linalg, "solve", None)
+            one = inference.kalman_smooth(y, np.array([[0.9]]), most=most)
+        assert np.allclose(one[0][:, 0], both[0][:, 0]) and np.allclose(one[1][:, 0], both[1][:, 0])
+        assert np.allclose(one[2:4], both[2:4]) and np.isclose(2 * one[4], both[4])
+    assert [np.shape(x) for x in inference.kalman_smooth(np.array([3.0]), np.array([[0.9]]), most=1)[:2]] == [(1, 1), (1, 1)]
