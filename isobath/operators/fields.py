@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from isobath.functions import potential
 from isobath.operators import search
+from isobath.operators.lattice import Lattice
 
 
 def pairs(stations: DataFrame, cells: DataFrame) -> DataFrame:
@@ -34,7 +35,16 @@ TILE = (32, 2_048)
 
 
 def block_sums(xyz: np.ndarray, cells: np.ndarray, volume: np.ndarray, parts: list[tuple[Callable, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each (kernel, property, rows that count): sums over the cells of kernel times property, per station of xyz."""
+    """For each (kernel, property, rows that count): sums over the cells of kernel times property, per station of xyz.
+
+    Cells of one volume on a grid are summed by their displacements, others pair by pair.
+    """
+    counted = np.logical_or.reduce([counts for _, _, counts in parts])
+    if counted.any() and (volume[counted] == volume[counted][0]).all():
+        grid = Lattice(xyz, cells[counted])
+        way = grid.cheapest()
+        if way is not None:
+            return grid.sums(way, volume[counted][0], [(kernel, np.where(counts, prop, 0.0)[counted]) for kernel, prop, counts in parts])
     out = [np.zeros(len(xyz)) for _ in parts]
     for c in range(0, len(cells), TILE[1]):
         here = slice(c, c + TILE[1])
@@ -48,12 +58,19 @@ def block_sums(xyz: np.ndarray, cells: np.ndarray, volume: np.ndarray, parts: li
     return out
 
 
+def ranged(table: DataFrame, blocks: int, name: str, *order: str) -> DataFrame:
+    """The table with the number of its block, blocks being ranges of about the same size."""
+    if blocks == 1:
+        return table.withColumn(name, F.lit(0))
+    return table.repartitionByRange(blocks, *order).withColumn(name, F.spark_partition_id())
+
+
 def forward(stations: DataFrame, cells: DataFrame, kernels: dict[str, tuple[Callable, str]], count: str | None = None) -> DataFrame:
     """Sums over the cells of kernel(d, r, volume) times a property, per station; one pass for all kernels.
 
     ``count`` names a column for the number of cells. The product is the operator's meaning. Stations and cells are dealt to blocks,
     every two blocks meet by equality as one group of bounded size, which numpy sums up in tiles, and the blocks' sums are
-    added up by station. Rows with a null coordinate have no place and are left out; products with null count for nothing.
+    added up by station. Blocks are ranges of places, so that displacements within a block repeat if they do at all. Rows with a null coordinate have no place and are left out; products with null count for nothing.
     """
     stations, cells = (t.dropna(subset=["x", "y", "z"]) for t in (stations, cells))
     props = sorted({p for _, p in kernels.values()})
@@ -64,9 +81,10 @@ def forward(stations: DataFrame, cells: DataFrame, kernels: dict[str, tuple[Call
     n_stations, n_cells = s.count(), c.count()
     rows = max(1, math.ceil(n_stations / STATIONS))
     columns = max(1, math.ceil(n_cells / min(CELLS, max(FEW_CELLS, n_cells * rows // (4 * cores)))))
-    s = s.withColumn("sb", F.pmod(F.xxhash64("obs_id", "x", "y", "z"), F.lit(rows)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    c = c.withColumn("cb", F.pmod("deal", F.lit(columns)).cast("int")).drop("deal").withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    spread = min(rows * columns, 16 * cores)
+    s, c = ranged(s, rows, "sb", "z", "y", "x", "obs_id"), ranged(c, columns, "cb", "z", "y", "x", "deal").drop("deal")
+    s = s.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    c = c.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    spread = min(4 * rows * columns, 16 * cores)
     s, c = (t.repartition(spread, "sb", "cb") for t in (s, c))
     obs = stations.schema["obs_id"].dataType.simpleString()
     names = [f"s{k}" for k in range(len(kernels))]
