@@ -24,7 +24,9 @@ def direct(kernel, s, c, volume, mass):
 def test_repeated_displacements_are_worked_out_once():
     s, c, mass = places()
     seen, counts = [], np.arange(len(c)) % 9 > 0
+    b = fields.direction(60.0, 5.0)
     kernels = [lambda d, r, v, n=n: potential.gravity_gradient(d, r, v, n) for n in ("xx", "xy", "zz")]
+    kernels += [lambda d, r, v, n=n: potential.magnetic_gradient(d, r, v, b, n) for n in ("xx", "yz")]
 
     def counting(d, r, v):
         seen.append(r.size)
