@@ -28,6 +28,7 @@ def test_repeated_displacements_are_worked_out_once():
     kernels = [lambda d, r, v, n=n: potential.gravity_gradient(d, r, v, n) for n in ("xx", "xy", "zz")]
     kernels += [lambda d, r, v, n=n: potential.magnetic_gradient(d, r, v, b, n) for n in ("xx", "yz")]
     kernels += [lambda d, r, v, n=n: potential.magnetic_vector(d, r, v, b, n) for n in "xz"]
+    kernels.append(lambda d, r, v: potential.magnetic_total(d, r, v, b))
 
     def counting(d, r, v):
         seen.append(r.size)
