@@ -51,3 +51,31 @@ def test_places_without_a_grid_or_of_several_volumes_go_pair_by_pair():
     (got,) = fields.block_sums(spread, c, np.full(len(c), 1e6), [(potential.gravity, mass, everything)])
     assert np.allclose(got, direct(potential.gravity, spread, c, 1e6, mass), rtol=1e-10)
     assert not Lattice(np.array([[np.inf, 0.0, 0.0]]), c).dense
+
+
+def test_information_multiplies_layers_in_blocks(spark, monkeypatch):
+    from isobath.operators import inference
+
+    for name, value in (("LAYERS", 5), ("PANEL", 64), ("SLAB", 2), ("STATIONS", 100)):
+        monkeypatch.setattr(fields, name, value)
+    s, c, _ = places()
+    s, c = s[:200], c[:400]
+    rows = [(k % 190, *map(float, x)) for k, x in enumerate(s)] + [(None, 0.0, 0.0, 0.0), (500, None, 0.0, 0.0)]
+    stations = spark.createDataFrame(rows, "obs_id long, x double, y double, z double")
+    layer = (-c[:, 2] / 100).astype(int)
+    for volume in (np.full(len(c), 1e6), 1e6 + np.arange(len(c))):
+        cells = spark.createDataFrame([(*map(float, x), float(v) if k != 4 else None, int(k)) for x, v, k in zip(c, volume, layer, strict=True)] + [(None, 0.0, 0.0, 1.0, 3)], "x double, y double, z double, volume double, k long")
+        out = fields.information(stations, cells, potential.gravity, "k", 0.01)
+        text = out._jdf.queryExecution().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text and "SortMergeJoin" not in text
+        d = [s[:, a, None] - c[None, :, a] for a in range(3)]
+        g = potential.gravity(d, potential.distance(d), volume)
+        h = np.array([[g[np.arange(200) % 190 == o][:, layer == k].sum() for k in range(1, 14)] for o in range(190)])
+        got = {(r.i, r.j): r["lambda"] for r in out.collect()}
+        assert len(got) == out.count() == 169 and got.keys() == {(i, j) for i in range(1, 14) for j in range(1, 14)}
+        for (i, j), v in got.items():
+            assert v is None if 4 in (i, j) else np.isclose(v, h[:, i - 1] @ h[:, j - 1] / 0.01, rtol=1e-9)
+        evidence = spark.createDataFrame([("g", o, k + 1, float(h[o, k]), 0.01) for o in range(190) for k in range(13)], "name string, row long, i long, h double, r double")
+        assert all(np.isclose(r["lambda"], got[r.i, r.j], rtol=1e-9) for r in inference.information(evidence).collect() if 4 not in (r.i, r.j))
+    assert fields.information(stations.limit(0), cells, potential.gravity, "k", 0.01).collect() == []
+    assert fields.information(stations, cells.limit(0), potential.gravity, "k", 0.01).collect() == []
