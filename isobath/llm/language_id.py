@@ -11,9 +11,11 @@ that, calibrate() finds the usual mean log-probability of a trigram under the la
 held-out texts of all lengths fall below it; identify() marks as foreign what falls ``REACH`` times as far and ``SLACK``
 over the number of held-out texts more.
 
-Learned from a bounded sample: at most ``PER_LANG`` rows a language and ``SAMPLE`` in all, but one of each language
-at least, chosen by a hash of doc_id and text among the labelled rows for training. Every labelled language is learned
-and everything is predicted; the model takes 64 kB a language, whatever the corpus holds. doc_id, lang and source are
+Learned from every labelled row that is not held out (learn()): trigrams are counted over all of them, and each two languages of a family
+are told apart by the mean of machines over parts of their rows. A part has some ``PER_LANG`` rows of the larger language and ``LEAST`` of the smaller; every
+row is in one part at least, a small language's rows in several. calibrate() looks at every held-out row told as labelled, in steps of 1e-4.
+train() is a quick model of a bounded sample, no query's: at most ``PER_LANG`` rows a language and ``SAMPLE`` in all, one of each at least, chosen by a hash.
+Everything is predicted; the model takes 64 kB a language, whatever the corpus holds. doc_id, lang and source are
 never inputs of a prediction. Learning is deterministic. Counts are dense for ``ROWS`` texts at a time, so memory follows
 the bytes of texts, not their number; a text of any length is taken whole.
 In the family's posterior a text counts as at most ``WEIGHT`` trigrams, which only tempers the score: the family
@@ -36,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isobath.llm import near_dedup as N
-from isobath.llm.shared import shielded, table
+from isobath.llm.shared import materialise, shielded, table
 
 BITS = 12
 PER_LANG = 300
 SAMPLE = 6_000
+# Rows of the smaller language in a part at least, as far as it has them; parts that one group trains.
+LEAST, PARTS = 32, 8
 ROWS = 128
 # The trigrams of a text are not independent: in the family's posterior a text weighs no more than so many.
 WEIGHT = 200.0
@@ -127,26 +131,44 @@ def _svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mean / (EPOCHS - EPOCHS // 2)
 
 
+def _families(langs) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for lang in sorted(langs):
+        out.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
+    return out
+
+
+def _pairs(langs) -> list[tuple[str, str]]:
+    """Each two languages of a family."""
+    return [(a, b) for own in _families(langs).values() for i, a in enumerate(own) for b in own[i + 1 :]]
+
+
 class Model:
     """Families, their trigram log-probabilities, and the pairwise machines of each family's languages."""
 
     def __init__(self, counts: np.ndarray, langs: list[str], bits: int = BITS):
-        self.bits = bits
-        self.families: dict[str, list[str]] = {}
-        for lang in sorted(set(langs)):
-            self.families.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
-        at = np.array(langs)
-        x = _unit(counts)
+        at, x = np.array(langs), _unit(counts)
+        self._set({lang: counts[at == lang].sum(axis=0, dtype=np.float64) for lang in set(langs)}, bits)
+        for a, b in _pairs(set(langs)):
+            of = (at == a) | (at == b)
+            self.machines[a, b] = _svm(x[of], np.where(at[of] == a, 1.0, -1.0))
+
+    @classmethod
+    def of(cls, sums: dict[str, np.ndarray], machines: dict[tuple[str, str], np.ndarray], bits: int = BITS) -> Model:
+        """The model of trigram counts a language and of machines made elsewhere."""
+        model = cls.__new__(cls)
+        model._set(sums, bits)
+        model.machines = machines
+        return model
+
+    def _set(self, sums: dict[str, np.ndarray], bits: int) -> None:
+        self.bits, self.families = bits, _families(sums)
         log, self.machines, self.trigrams = [], {}, {}
-        for family, own in self.families.items():
-            shares = [counts[at == lang].sum(axis=0, dtype=np.float64) / max(counts[at == lang].sum(dtype=np.float64), 1) for lang in own]
-            smooth = lambda share: np.log(share * 0.999 + 0.001 / counts.shape[1])
+        for own in self.families.values():
+            shares = [sums[lang] / max(sums[lang].sum(), 1) for lang in own]
+            smooth = lambda share: np.log(share * 0.999 + 0.001 / (1 << bits))
             log.append(smooth(sum(shares) / len(own)))
             self.trigrams |= {lang: smooth(share) for lang, share in zip(own, shares, strict=True)}
-            for i, a in enumerate(own):
-                for b in own[i + 1 :]:
-                    of = (at == a) | (at == b)
-                    self.machines[a, b] = _svm(x[of], np.where(at[of] == a, 1.0, -1.0))
         self.log = np.array(log)
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -189,53 +211,113 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _sampled(docs: DataFrame, out: bool, per_lang: int, sample: int, more: float) -> tuple[DataFrame, int] | None:
-    """text, lang and a draw u of a sample of the labelled rows that are held out or not, and how many a language may
-    have. ``more`` times the rows asked for are let through."""
+def _labelled(docs: DataFrame, out: bool) -> DataFrame:
+    """doc_id, text and lang of the labelled rows with letters that are held out or not."""
     part = held_out(F.col("doc_id"))
-    usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (part if out else ~part) & F.col("text").rlike(r"\p{L}"))
-    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not counted:
-        return None
-    most = max(1, min(per_lang, sample // len(counted)))
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, more * most / r.n + (more > 1) * 10 / r.n)) for r in counted], "lang string, share double")
-    return usable.withColumn("u", u).join(F.broadcast(shares), "lang").filter("u < share").select("text", "lang", "u"), most
+    return docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (part if out else ~part) & F.col("text").rlike(r"\p{L}"))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
-    """A model of the labelled rows that are not held out; None if there are none."""
-    found = _sampled(docs, False, per_lang, sample, 1.3)
-    if found is None:
+def _packed(batches):
+    """(text, ..) to (f, ..), f the packed feature row."""
+    for batch in batches:
+        for a, b, raw, offsets in _few(batch.column(0)):
+            rows = features(raw, offsets).astype(np.uint32)
+            yield pa.record_batch([pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary()), *[c.slice(a, b - a) for c in batch.columns[1:]]], names=["f", *batch.schema.names[1:]])
+
+
+def _unpacked(rows: pa.ChunkedArray) -> np.ndarray:
+    counts = np.empty((len(rows), 1 << BITS), np.float32)
+    for i, r in enumerate(rows):
+        counts[i] = np.frombuffer(zlib.decompress(r.as_buffer()), np.uint32)
+    return counts
+
+
+def _drawn() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _counted(batches):
+    """(text, lang) to a task's (lang, n, sums), the packed trigram counts of its texts."""
+    n: dict[str, int] = {}
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for a, b, raw, offsets in _few(batch.column(0)):
+            langs = batch.column(1).slice(a, b - a).to_pylist()
+            counts, at = features(raw, offsets), np.array(langs)
+            for lang in set(langs):
+                n[lang] = n.get(lang, 0) + int((at == lang).sum())
+                sums[lang] = sums.get(lang, 0) + counts[at == lang].sum(axis=0)
+    yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([zlib.compress(sums[x].tobytes(), 1) for x in n], pa.binary())], names=["lang", "n", "sums"])
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x.as_buffer()), np.int64) for x in rows["sums"])
+    return pa.table([rows["lang"].slice(0, 1), pa.array([sum(rows["n"].to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["lang", "n", "sums"])
+
+
+def _mean(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), float) for x in rows["w"]) / sum(rows["n"].to_pylist())
+    return pa.table([rows["pair"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["pair", "w"])
+
+
+def learn(docs: DataFrame) -> Model | None:
+    """A model of all labelled rows that are not held out; None if there are none."""
+    usable = _labelled(docs, False)
+    found = usable.select("text", "lang").mapInArrow(_counted, "lang string, n long, sums binary").groupBy("lang").applyInArrow(_added, "lang string, n long, sums binary").collect()
+    if not found:
         return None
-    few, most = found
+    n, pairs = {r.lang: r.n for r in found}, _pairs([r.lang for r in found])
+    sums = {r.lang: np.frombuffer(r.sums, np.int64).astype(float) for r in found}
+    if not pairs:
+        return Model.of(sums, {})
+    dealt = []
+    for k, two in enumerate(pairs):
+        parts = -(-max(n[x] for x in two) // PER_LANG)
+        dealt += [(lang, k, lang == two[0], parts, min(parts, max(1, n[lang] // LEAST))) for lang in two]
+    ways = docs.sparkSession.createDataFrame(dealt, "lang string, pair int, first boolean, parts int, own int")
+    rows = usable.withColumn("u", _drawn()).select("text", "lang", "u").mapInArrow(_packed, "f binary, lang string, u double").join(F.broadcast(ways), "lang")
+    heap = F.pmod(F.xxhash64("u", "f"), F.col("own")).cast("int")
+    rows = rows.withColumn("part", F.explode(F.sequence(heap, F.col("parts") - 1, F.col("own")))).select("f", "u", "first", "pair", "part", F.floor(F.col("part") / PARTS).alias("group"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("part", "ascending"), ("first", "descending"), ("u", "ascending"), ("f", "ascending")])
+        part, w, made = group["part"].to_numpy(), 0.0, 0
+        for k in np.unique(part):
+            a, b = np.searchsorted(part, [k, k + 1])
+            y = np.where(group["first"].slice(a, b - a).to_numpy(), 1.0, -1.0)
+            w, made = w + _svm(_unit(_unpacked(group["f"].slice(a, b - a))), y), made + 1
+        return pa.table([group["pair"].slice(0, 1), pa.array([made], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["pair", "n", "w"])
+
+    machines = rows.groupBy("pair", "group").applyInArrow(run, "pair int, n long, w binary").groupBy("pair").applyInArrow(_mean, "pair int, w binary").collect()
+    return Model.of(sums, {pairs[r.pair]: np.frombuffer(r.w, float) for r in machines})
 
-    def run(batches):
-        for batch in batches:
-            for a, b, raw, offsets in _few(batch.column(0)):
-                rows = features(raw, offsets).astype(np.uint32)
-                yield pa.record_batch([pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["f", "lang", "u"])
 
-    rows = few.mapInArrow(run, "f binary, lang string, u double").toArrow().sort_by([("lang", "ascending"), ("u", "ascending"), ("f", "ascending")])
+def train(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
+    """A quick model of a bounded sample of the labelled rows that are not held out; None if there are none."""
+    usable = _labelled(docs, False)
+    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counted:
+        return None
+    most = max(1, min(per_lang, sample // len(counted)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 1.3 * most / r.n + 10 / r.n)) for r in counted], "lang string, share double")
+    few = usable.withColumn("u", _drawn()).join(F.broadcast(shares), "lang").filter("u < share").select("text", "lang", "u")
+    rows = few.mapInArrow(_packed, "f binary, lang string, u double").toArrow().sort_by([("lang", "ascending"), ("u", "ascending"), ("f", "ascending")])
     langs = rows["lang"].to_pylist()
     at, n = [], {}
     for i, lang in enumerate(langs):
         n[lang] = n.get(lang, 0) + 1
         if n[lang] <= most:
             at.append(i)
-    counts = np.empty((len(at), 1 << BITS), np.float32)
-    for i, k in enumerate(at):
-        counts[i] = np.frombuffer(zlib.decompress(rows["f"][k].as_buffer()), np.uint32)
-    return Model(counts, [langs[i] for i in at])
+    return Model(_unpacked(rows["f"].take(pa.array(at))), [langs[i] for i in at])
+
 
+def calibrate(docs: DataFrame, model: Model | None) -> dict[str, tuple[float, float]]:
+    """Per language the median of the likelihood, and how far below it a long text may fall, over all held-out rows told as labelled.
 
-def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sample: int = SAMPLE) -> dict[str, tuple[float, float]]:
-    """Per language the median of the likelihood, and how far below it a long text may fall, over a bounded sample of held-out rows told as labelled."""
+    Likelihoods are taken in steps of 1e-4, so that quantiles are those of a bounded number of values and their counts.
+    """
     if model is None:
         return {}
-    found = _sampled(docs, True, per_lang, sample, 1.0)
-    if found is None:
-        return {}
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -247,16 +329,17 @@ def calibrate(docs: DataFrame, model: Model | None, per_lang: int = PER_LANG, sa
                 told = pa.array([x == y for x, y in zip(langs, batch.column(1).slice(a, b - a).to_pylist(), strict=True)], pa.bool_())
                 yield pa.record_batch([pa.array(langs, pa.string()), pa.array(mean), pa.array(wide), told], names=["lang", "mean", "wide", "told"])
 
-    seen: dict[str, list[tuple[float, float]]] = {}
-    for r in found[0].select("text", "lang").mapInArrow(run, "lang string, mean double, wide double, told boolean").filter("told").collect():
-        seen.setdefault(r.lang, []).append((r["mean"], r.wide))
-    spreads = {lang: np.array(rows).T for lang, rows in seen.items()}
-    centres = {lang: float(np.median(mean)) for lang, (mean, _) in spreads.items()}
-    fallen = [(centres[lang] - mean) / wide for lang, (mean, wide) in spreads.items()]
-    reach = float(np.quantile(np.concatenate(fallen), USUAL)) if fallen else 0.0
-    rest = min(centres.values(), default=-np.inf)
-    allowed = {lang: REACH * reach + SLACK / max(len(seen.get(lang, ())), 1) for own in model.families.values() for lang in own}
-    return {lang: (centres.get(lang, rest), far) for lang, far in allowed.items()}
+    told = materialise(_labelled(docs, True).select("text", "lang").mapInArrow(run, "lang string, mean double, wide double, told boolean").filter("told").drop("told"), "told")
+    step = lambda x: F.round(x, 4).alias("x")
+    middles = told.groupBy("lang", step(F.col("mean"))).agg(F.count("*").alias("n")).groupBy("lang").agg(F.percentile("x", 0.5, F.col("n")).alias("centre"), F.sum("n").alias("n")).collect()
+    if not middles:
+        return {}
+    centres, n = {r.lang: r.centre for r in middles}, {r.lang: r.n for r in middles}
+    near = docs.sparkSession.createDataFrame(list(centres.items()), "lang string, centre double")
+    fallen = told.join(F.broadcast(near), "lang").groupBy(step((F.col("centre") - F.col("mean")) / F.col("wide"))).agg(F.count("*").alias("n"))
+    reach = fallen.agg(F.percentile("x", USUAL, F.col("n")).alias("reach")).first()["reach"]
+    rest = min(centres.values())
+    return {lang: (centres.get(lang, rest), REACH * reach + SLACK / max(n.get(lang, 0), 1)) for own in model.families.values() for lang in own}
 
 
 def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -294,5 +377,5 @@ def identify(docs: DataFrame, model: Model | None, usual: dict[str, tuple[float,
 
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text"), train(docs))
+    found = identify(docs.select("doc_id", "text"), learn(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

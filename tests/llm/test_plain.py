@@ -167,6 +167,36 @@ def test_every_language_is_learned(spark):
     assert set(usual) == learned
 
 
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """Rows beyond any sample's size count in the trigrams, in the machines and in the calibration."""
+    rng = random.Random(5)
+    rows = [(i, f"{' '.join(rng.choices(WORDS[lang].split(), k=12))} mark{chr(97 + i % 26) * 3}", lang) for i, lang in enumerate(rng.choices(["en", "de", "fr"], [8, 3, 1], k=900))] + [(5000, "zyx", None), (5001, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    used = [(t.encode(), x) for i, t, x in rows if t and x and zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = language_id.features(np.frombuffer(b"".join(t for t, _ in used), np.uint8), np.cumsum([0] + [len(t) for t, _ in used])).astype(np.float32)
+    whole = language_id.Model(counts, [x for _, x in used])
+    for name, value in (("PER_LANG", 40), ("LEAST", 12), ("SAMPLE", 60)):
+        monkeypatch.setattr(language_id, name, value)
+    seen = []
+    monkeypatch.setattr(language_id, "_pairs", lambda langs, of=language_id._pairs: seen.append(of(langs)) or seen[-1])
+    model = language_id.learn(docs)
+    assert model.families == whole.families and seen == [[("de", "en")]]
+    assert all(np.allclose(model.trigrams[x], whole.trigrams[x]) for x in ("en", "de", "fr"))
+    a, b = model.machines["de", "en"], whole.machines["de", "en"]
+    assert a.shape == b.shape and a @ b > 0.8 * np.sqrt((a @ a) * (b @ b))
+    assert language_id.learn(docs.repartition(7)).machines["de", "en"].tolist() == pytest.approx(a.tolist())
+    found = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert sum(found[i].lang_pred == x for i, _, x in rows[:900]) > 890
+    out = [(t.encode(), x) for i, t, x in rows if t and x and zlib.crc32(str(i).encode()) % 4 == 2]
+    counts = language_id.features(np.frombuffer(b"".join(t for t, _ in out), np.uint8), np.cumsum([0] + [len(t) for t, _ in out]))
+    told, _ = model.predict(counts)
+    mean, _ = model.likelihood(counts, told)
+    usual = language_id.calibrate(docs, model)
+    for x in ("en", "de", "fr"):
+        assert abs(usual[x][0] - np.median([m for m, y, (_, z) in zip(mean, told, out, strict=True) if x == y == z])) <= 1e-4
+    assert language_id.learn(docs.limit(0)) is None and language_id.calibrate(docs.limit(0), model) == {}
+
+
 def test_memory_follows_bytes_not_rows():
     """Ten thousand short texts in one batch are counted a few at a time; the filter of the probe stays packed."""
     import tracemalloc
