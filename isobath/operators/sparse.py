@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isobath.operators import fronts
 from isobath.sources.storage import Store
 
 MOST_COARSE = 256
@@ -219,17 +220,23 @@ def _number(row, name: str, wide: bool) -> complex | float:
 def solve(coo: DataFrame, rhs: DataFrame, tiles: list[DataFrame] | None = None, tolerance: float = 1e-10, most: int = 200, turned: bool = False, store: Store | None = None, most_coarse: int = MOST_COARSE) -> Solution:
     """The solution u of A u = f, or of the adjoint operator's system if ``turned``.
 
+    Where blocks of neighbouring numbers hold the operator (``fronts``, 4 * most_coarse unknowns a group), they are eliminated; a
+    step is then a pass over the blocks. Everything else is iterated.
     tiles are the levels of the preconditioner, as of ``grid_tiles``; without them it is Jacobi's. ArithmeticError if
     ``most`` steps do not reach the tolerance. The solution is read from the store's folder, which the caller may close.
     """
     store = store or Store(coo.sparkSession, "sparse")
     wide = "v_i" in coo.columns or "f_i" in rhs.columns
     widened = lambda df, x: df if not wide or f"{x}_i" in df.columns else df.withColumn(f"{x}_i", F.lit(0.0))
-    level = Level(store, widened(adjoint(coo) if turned else coo, "v"), tiles or [], most_coarse)
+    coo, rhs = widened(adjoint(coo) if turned else coo, "v"), widened(rhs, "f")
+    found = fronts.solve(store, coo, rhs, tolerance, most, 4 * most_coarse)
+    if found:
+        return Solution(*found)
+    level = Level(store, coo, tiles or [], most_coarse)
     cols = lambda *xs: [y for x in xs for y in names(x, wide)]
     part = lambda x: parts(x, wide)
     # nodes that the right-hand side leaves out have 0 there
-    f = level.over.select("node").join(widened(rhs, "f").groupBy("node").agg(*[F.sum(x).alias(x) for x in cols("f")]), "node", "left")
+    f = level.over.select("node").join(rhs.groupBy("node").agg(*[F.sum(x).alias(x) for x in cols("f")]), "node", "left")
     f = f.select("node", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in cols("f")])
     zero = (F.lit(0.0), F.lit(0.0) if wide else None)
     state = store(f.select("node", *named(zero, "x"), *named(part("f"), "r"), *named(part("f"), "s0"), *named(part("f"), "p")))
