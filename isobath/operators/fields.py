@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from isobath.functions import potential
 from isobath.operators import search
-from isobath.operators.lattice import Lattice
+from isobath.operators.lattice import Lattice, Layered
 
 
 def pairs(stations: DataFrame, cells: DataFrame) -> DataFrame:
@@ -103,48 +103,55 @@ def forward(stations: DataFrame, cells: DataFrame, kernels: dict[str, tuple[Call
     return made.withColumnRenamed("_cells", count) if count else made.drop("_cells")
 
 
-#: Layers of a block of the information, stations of a panel of one task's, layers whose sums travel as one row.
-LAYERS, PANEL, SLAB = 6_144, 1_024, 64
+#: Layers of a block of the information, stations of a panel of one task's, layers whose sums travel as one row, stations of a group.
+LAYERS, PANEL, SLAB, READINGS = 2_048, 1_024, 64, 1 << 20
+_SUMS = "a int, b int, slab int, i binary, j binary, oki binary, okj binary, sums binary"
 
 
-def layer_sums(xyz: np.ndarray, cells: np.ndarray, volume: np.ndarray, layer: np.ndarray, n: int, kernel: Callable) -> np.ndarray:
-    """(stations, n) sums of the kernel over the cells of each layer; cells of one volume on a grid by their displacements."""
-    if len(cells) and (volume == volume[0]).all():
-        grid = Lattice(xyz, cells)
-        found = grid.layered(layer)
-        if found:
-            return grid.layer_sums(*found, n, volume[0], kernel)
-    out, order = np.zeros((len(xyz), n)), np.argsort(layer, kind="stable")
+def layer_sums(cells: np.ndarray, volume: np.ndarray, layer: np.ndarray, n: int, kernel: Callable) -> Callable[[np.ndarray], np.ndarray]:
+    """Of stations the (stations, n) sums of the kernel over the cells of each layer; cells of one volume on a grid by their displacements."""
+    grid = Layered(cells, volume[0], layer, n) if len(cells) and (volume == volume[0]).all() else None
+    order = np.argsort(layer, kind="stable")
     ends = np.searchsorted(layer[order], np.arange(n + 1))
-    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        if a < b:
-            at = order[a:b]
-            (out[:, k],) = block_sums(xyz, cells[at], volume[at], [(kernel, np.ones(b - a), np.ones(b - a, bool))])
-    return out
+
+    def of(xyz: np.ndarray) -> np.ndarray:
+        found = grid.sums(xyz, kernel) if grid else None
+        if found is not None:
+            return found
+        out = np.zeros((len(xyz), n))
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if a < b:
+                at = order[a:b]
+                (out[:, k],) = block_sums(xyz, cells[at], volume[at], [(kernel, np.ones(b - a), np.ones(b - a, bool))])
+        return out
+
+    return of
 
 
 def information(stations: DataFrame, cells: DataFrame, kernel: Callable, layer: str, noise: float) -> DataFrame:
     """(i, j, lambda): over all readings obs_id the sum of h_i h_j / noise, h_i the sum of kernel(d, r, volume) over the cells of layer i.
 
-    The result has a row for every two layers. Stations are dealt to ranges of places, rows of one obs_id together, layers to blocks; a
-    group is a range with two blocks, whose h are made panel by panel and multiplied as matrices, so no pair of station and cell or of
-    layers is a row. Only sums of a range travel, a matrix of two blocks each. Rows with a null coordinate, obs_id or
-    layer are left out; a layer without any volume has a null lambda.
+    The result has a row for every two layers. Layers are dealt to blocks and a group is two blocks with all stations, whose h are made
+    panel by panel and multiplied as matrices, so no pair of station and cell or of layers is a row, a group holds a matrix of two
+    blocks, and no sums travel. Only where the groups are fewer than the cores or stations are very many are these dealt to ranges of places,
+    rows of one obs_id together, and the ranges' sums added up. Rows with a null coordinate, obs_id or layer are left out; a layer without any volume has a null lambda.
     """
     there = [F.col(c).cast("double").alias(c) for c in "xyz"]
-    s = stations.dropna(subset=["obs_id"]).dropna(subset=["x", "y", "z"]).select("obs_id", *there).withColumn("place", F.min(F.struct("z", "y", "x")).over(Window.partitionBy("obs_id")))
+    s = stations.dropna(subset=["obs_id"]).dropna(subset=["x", "y", "z"]).select("obs_id", *there)
     c = cells.dropna(subset=["x", "y", "z", layer]).select(*there, F.col("volume").cast("double").alias("volume"), F.col(layer).cast("long").alias("layer"))
     cores = stations.sparkSession.sparkContext.defaultParallelism
     n_stations, n_layers = s.count(), c.select("layer").distinct().count()
     blocks = max(1, math.ceil(n_layers / LAYERS))
-    pairs_of = [(a, b) for a in range(blocks) for b in range(a, blocks)]
-    rows = max(1, math.ceil(n_stations / STATIONS), min(math.ceil(3 * cores / len(pairs_of)), math.ceil(n_stations / PANEL)))
-    every = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs_of])
-    s = ranged(s, rows, "sb", "place", "obs_id").select("obs_id", "x", "y", "z", "sb", F.explode(every).alias("ab")).select("obs_id", *"xyz", "sb", "ab.a", "ab.b")
-    c = c.withColumn("own", F.pmod(F.xxhash64("layer"), F.lit(blocks)).cast("int")).withColumn("ab", F.explode(F.filter(every, lambda x: (x["a"] == F.col("own")) | (x["b"] == F.col("own")))))
-    c = c.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).select(*"xyz", "volume", "layer", "own", "sb", "ab.a", "ab.b")
+    n_pairs = blocks * (blocks + 1) // 2
+    rows = max(1, math.ceil(n_stations / READINGS), min(math.ceil(3 * cores / n_pairs), math.ceil(n_stations / PANEL)))
+    if rows > 1:
+        s = s.withColumn("place", F.min(F.struct("z", "y", "x")).over(Window.partitionBy("obs_id")))
+    s = ranged(s, rows, "sb", "place", "obs_id").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    s = s.withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(blocks - 1)))).select("obs_id", *"xyz", "sb", "a", "b")
+    c = c.withColumn("own", F.pmod(F.xxhash64("layer"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    c = c.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).select(*"xyz", "volume", "layer", "own", "sb", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     keys = ["sb", "a", "b"]
-    spread = min(8 * rows * len(pairs_of), 16 * cores)
+    spread = min(8 * rows * n_pairs, 64 * cores)
     s, c = (t.repartition(spread, *keys) for t in (s, c))
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -163,23 +170,23 @@ def information(stations: DataFrame, cells: DataFrame, kernel: Callable, layer:
                 ids = np.unique(layers[own == block])
                 take = (own == block) & has
                 index = np.searchsorted(ids, layers[take])
-                sides.append((ids, np.isin(np.arange(len(ids)), index), at[take], volume[take], index))
+                sides.append((ids, np.isin(np.arange(len(ids)), index), layer_sums(at[take], volume[take], index, len(ids), kernel)))
             total = np.zeros((len(sides[0][0]), len(sides[-1][0])))
             ends = np.searchsorted(codes, np.arange(0, codes[-1] + 1 + PANEL, PANEL))
             for first, (start, end) in zip(range(0, codes[-1] + 1, PANEL), zip(ends[:-1], ends[1:], strict=True), strict=True):
                 panels = []
-                for ids, _, x, v, index in sides:
+                for ids, _, of in sides:
                     h = np.zeros((int(codes[end - 1]) + 1 - first, len(ids)))
                     for k in range(start, end, PANEL):
                         to = min(end, k + PANEL)
-                        part = layer_sums(xyz[k:to], x, v, index, len(ids), kernel)
+                        part = of(xyz[k:to])
                         if len(np.unique(codes[k:to])) == to - k:
                             h[codes[k:to] - first] += part
                         else:
                             np.add.at(h, codes[k:to] - first, part)
                     panels.append(h)
                 total += panels[0].T @ panels[-1]
-            (i, oki, *_), (j, okj, *_) = sides[0], sides[-1]
+            (i, oki, _), (j, okj, _) = sides[0], sides[-1]
             for k in range(0, len(i), SLAB):
                 start = k if a == b else 0
                 for n, value in zip(made, (a, b, k, i[k : k + SLAB].tobytes(), j[start:].tobytes(), oki[k : k + SLAB].tobytes(), okj[start:].tobytes(), total[k : k + SLAB, start:].tobytes()), strict=True):
@@ -188,16 +195,23 @@ def information(stations: DataFrame, cells: DataFrame, kernel: Callable, layer:
         return pa.table([pa.array(v, t) for v, t in zip(made.values(), kinds, strict=True)], list(made))
 
     def added(slabs: pa.Table) -> pa.Table:
-        i, j, oki, okj = (np.frombuffer(slabs.column(n)[0].as_buffer(), t) for n, t in (("i", np.int64), ("j", np.int64), ("oki", bool), ("okj", bool)))
-        total = sum(np.frombuffer(x.as_buffer(), float) for x in slabs.column("sums")).reshape(len(i), len(j)) / noise
-        ok = oki[:, None] & okj[None]
-        mirrored = slice(len(i) if slabs.column("a")[0].as_py() == slabs.column("b")[0].as_py() else 0, None)
-        sides = [(np.repeat(i, len(j)), np.tile(j, len(i)), total.ravel(), ok.ravel()), (np.tile(j[mirrored], len(i)), np.repeat(i, len(j[mirrored])), total[:, mirrored].ravel(), ok[:, mirrored].ravel())]
-        a, b, v, good = (np.concatenate(x) for x in zip(*sides, strict=True))
-        return pa.table([a, b, pa.array(v, mask=~good)], ["i", "j", "lambda"])
-
-    met = s.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, "a int, b int, slab int, i binary, j binary, oki binary, okj binary, sums binary")
-    return met.groupBy("a", "b", "slab").applyInArrow(added, "i long, j long, lambda double")
+        total = sum(np.frombuffer(x.as_buffer(), float) for x in slabs.column("sums"))
+        return slabs.slice(0, 1).set_column(7, "sums", pa.array([total.tobytes()], pa.binary()))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                a, b = batch.column("a")[k], batch.column("b")[k]
+                i, j, oki, okj, total = (np.frombuffer(batch.column(n)[k].as_buffer(), t) for n, t in (("i", np.int64), ("j", np.int64), ("oki", bool), ("okj", bool), ("sums", float)))
+                total, ok = total.reshape(len(i), len(j)) / noise, oki[:, None] & okj[None]
+                mirrored = slice(len(i) if a == b else 0, None)
+                for left, right, v, good in ((np.repeat(i, len(j)), np.tile(j, len(i)), total, ok), (np.tile(j[mirrored], len(i)), np.repeat(i, len(j[mirrored])), total[:, mirrored], ok[:, mirrored])):
+                    yield pa.record_batch([left, right, pa.array(v.ravel(), mask=~good.ravel())], ["i", "j", "lambda"])
+
+    met = s.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, _SUMS)
+    if rows > 1:
+        met = met.groupBy("a", "b", "slab").applyInArrow(added, _SUMS)
+    return met.mapInArrow(told, "i long, j long, lambda double")
 
 
 def depth_weights(cells: DataFrame, z0: float, nu: float = 3.0, eps: float | None = None) -> DataFrame:

@@ -79,3 +79,18 @@ def test_information_multiplies_layers_in_blocks(spark, monkeypatch):
         assert all(np.isclose(r["lambda"], got[r.i, r.j], rtol=1e-9) for r in inference.information(evidence).collect() if 4 not in (r.i, r.j))
     assert fields.information(stations.limit(0), cells, potential.gravity, "k", 0.01).collect() == []
     assert fields.information(stations, cells.limit(0), potential.gravity, "k", 0.01).collect() == []
+
+
+def test_information_holds_small_matrices_and_sends_no_sums(spark, monkeypatch):
+    assert 8 * fields.LAYERS**2 <= 1 << 26
+    monkeypatch.setattr(fields, "LAYERS", 2)
+    s, c, _ = places()
+    s, c = s[:60], c[:400]
+    layer = (-c[:, 2] / 100).astype(int)
+    stations = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(s)], "obs_id long, x double, y double, z double")
+    cells = spark.createDataFrame([(*map(float, x), 1e6, int(k)) for x, k in zip(c, layer, strict=True)], "x double, y double, z double, volume double, k long")
+    out = fields.information(stations, cells, potential.gravity, "k", 0.01)
+    assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
+    h = np.stack([direct(potential.gravity, s, c[layer == k], 1e6, np.ones((layer == k).sum())) for k in range(1, 14)], 1)
+    got = {(r.i, r.j): r["lambda"] for r in out.collect()}
+    assert len(got) == 169 and all(np.isclose(v, h[:, i - 1] @ h[:, j - 1] / 0.01, rtol=1e-9) for (i, j), v in got.items())
