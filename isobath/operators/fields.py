@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from isobath.functions import potential
 from isobath.operators import search
 from isobath.operators.lattice import Lattice, Layered
+from isobath.operators.skeleton import DRAWN, reduced, skeleton
 
 
 def pairs(stations: DataFrame, cells: DataFrame) -> DataFrame:
@@ -128,76 +129,133 @@ def layer_sums(cells: np.ndarray, volume: np.ndarray, layer: np.ndarray, n: int,
     return of
 
 
-def information(stations: DataFrame, cells: DataFrame, kernel: Callable, layer: str, noise: float) -> DataFrame:
+def information(stations: DataFrame, cells: DataFrame, kernel: Callable, layer: str, noise: float, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(i, j, lambda): over all readings obs_id the sum of h_i h_j / noise, h_i the sum of kernel(d, r, volume) over the cells of layer i.
 
     The result has a row for every two layers. Layers are dealt to blocks and a group is two blocks with all stations, whose h are made
     panel by panel and multiplied as matrices, so no pair of station and cell or of layers is a row, a group holds a matrix of two
     blocks, and no sums travel. Only where the groups are fewer than the cores or stations are very many are these dealt to ranges of places,
     rows of one obs_id together, and the ranges' sums added up. Rows with a null coordinate, obs_id or layer are left out; a layer without any volume has a null lambda.
+
+    ``store`` writes a table and reads it again. With it, several blocks are first looked through, each once: where the h of many layers
+    are sums of those of a few (``skeleton``, to 1e-14 of their length, measured on all stations), only these few are multiplied,
+    and the others' products follow from theirs. Where they are not, all are multiplied.
     """
     there = [F.col(c).cast("double").alias(c) for c in "xyz"]
     s = stations.dropna(subset=["obs_id"]).dropna(subset=["x", "y", "z"]).select("obs_id", *there)
     c = cells.dropna(subset=["x", "y", "z", layer]).select(*there, F.col("volume").cast("double").alias("volume"), F.col(layer).cast("long").alias("layer"))
-    cores = stations.sparkSession.sparkContext.defaultParallelism
     n_stations, n_layers = s.count(), c.select("layer").distinct().count()
-    blocks = max(1, math.ceil(n_layers / LAYERS))
-    n_pairs = blocks * (blocks + 1) // 2
-    rows = max(1, math.ceil(n_stations / READINGS), min(math.ceil(3 * cores / n_pairs), math.ceil(n_stations / PANEL)))
+    if store and n_layers > LAYERS and n_stations:
+        blocks = math.ceil(n_layers / LAYERS)
+        ends = c.select("layer").distinct().agg(F.percentile_approx("layer", [k / blocks for k in range(1, blocks)], 10_000)).first()[0]
+        own = lambda name: F.size(F.filter(F.array(*map(F.lit, ends)), lambda x: x < F.col(name)))
+        chosen = store(_chosen(s, c.withColumn("a", own("layer")), n_stations, blocks, kernel))
+        few = chosen.agg(F.sum(F.size("chosen"))).first()[0]
+        if 2 * few <= n_layers:
+            kept = c.join(chosen.select(F.explode("chosen").alias("layer")), "layer", "left_semi")
+            among = _told(_products(s, kept, n_stations, few, kernel), 1.0).withColumns({"a": own("i"), "b": own("j")}).filter("a <= b")
+            return _told(_spread(among, chosen, blocks), noise)
+    return _told(_products(s, c, n_stations, n_layers, kernel), noise)
+
+
+def _dealt(s: DataFrame, n_stations: int, groups: int) -> tuple[DataFrame, int]:
+    """Stations with the number sb of their range, and the number of ranges, for as many groups of all stations."""
+    cores = s.sparkSession.sparkContext.defaultParallelism
+    rows = max(1, math.ceil(n_stations / READINGS), min(math.ceil(3 * cores / groups), math.ceil(n_stations / PANEL)))
     if rows > 1:
         s = s.withColumn("place", F.min(F.struct("z", "y", "x")).over(Window.partitionBy("obs_id")))
-    s = ranged(s, rows, "sb", "place", "obs_id").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    s = s.withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(blocks - 1)))).select("obs_id", *"xyz", "sb", "a", "b")
-    c = c.withColumn("own", F.pmod(F.xxhash64("layer"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    c = c.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).select(*"xyz", "volume", "layer", "own", "sb", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    return ranged(s, rows, "sb", "place", "obs_id").select("obs_id", *"xyz", "sb"), rows
+
+
+def _spreading(groups: int, t: DataFrame, *keys: str) -> DataFrame:
+    return t.repartition(min(8 * groups, 64 * t.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _places(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column(n).to_numpy() for n in "xyz"], 1)
+
+
+def _side(right: pa.Table, here: np.ndarray, kernel: Callable) -> tuple[np.ndarray, np.ndarray, Callable]:
+    """Layers of the rows here, whether each has a volume, and their sums at stations."""
+    layers, volume = right.column("layer").to_numpy(), right.column("volume").fill_null(0.0).to_numpy()
+    ids = np.unique(layers[here])
+    take = here & right.column("volume").is_valid().to_numpy()
+    index = np.searchsorted(ids, layers[take])
+    return ids, np.isin(np.arange(len(ids)), index), layer_sums(_places(right)[take], volume[take], index, len(ids), kernel)
+
+
+def _panels(left: pa.Table, sides: list[tuple[np.ndarray, np.ndarray, Callable]]) -> Iterator[list[np.ndarray]]:
+    """The h of PANEL readings after the other, a matrix a side."""
+    xyz = _places(left)
+    order = np.lexsort(xyz.T)
+    codes = left.column("obs_id").combine_chunks().take(pa.array(order)).dictionary_encode().indices.to_numpy()
+    order, codes = order[np.argsort(codes, kind="stable")], np.sort(codes)
+    xyz = xyz[order]
+    ends = np.searchsorted(codes, np.arange(0, codes[-1] + 1 + PANEL, PANEL))
+    for first, (start, end) in zip(range(0, codes[-1] + 1, PANEL), zip(ends[:-1], ends[1:], strict=True), strict=True):
+        panels = []
+        for ids, _, of in sides:
+            h = np.zeros((int(codes[end - 1]) + 1 - first, len(ids)))
+            for k in range(start, end, PANEL):
+                to = min(end, k + PANEL)
+                part = of(xyz[k:to])
+                if len(np.unique(codes[k:to])) == to - k:
+                    h[codes[k:to] - first] += part
+                else:
+                    np.add.at(h, codes[k:to] - first, part)
+            panels.append(h)
+        yield panels
+
+
+def _slabs(a: int, b: int, left: tuple, right: tuple, sums: Callable[[slice, int], np.ndarray]) -> pa.Table:
+    """Rows of SLAB layers each with those of the other block, of one block with those that follow."""
+    made: dict[str, list] = {n: [] for n in ("a", "b", "slab", "i", "j", "oki", "okj", "sums")}
+    (i, oki), (j, okj) = left, right
+    for k in range(0, len(i), SLAB):
+        here, start = slice(k, k + SLAB), k if a == b else 0
+        for n, value in zip(made, (a, b, k, i[here].tobytes(), j[start:].tobytes(), oki[here].tobytes(), okj[start:].tobytes(), sums(here, start).tobytes()), strict=True):
+            made[n].append(value)
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+    return pa.table([pa.array(v, t) for v, t in zip(made.values(), kinds, strict=True)], list(made))
+
+
+def _products(s: DataFrame, c: DataFrame, n_stations: int, n_layers: int, kernel: Callable) -> DataFrame:
+    """Slabs of the sums of h_i h_j over all readings."""
+    blocks = max(1, math.ceil(n_layers / LAYERS))
+    n_pairs = blocks * (blocks + 1) // 2
+    s, rows = _dealt(s, n_stations, n_pairs)
+    s = s.withColumn("a", _every(blocks)).withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(blocks - 1))))
+    c = c.withColumn("own", F.pmod(F.xxhash64("layer"), F.lit(blocks)).cast("int")).withColumn("other", _every(blocks)).withColumn("sb", _every(rows))
+    c = c.select(*"xyz", "volume", "layer", "own", "sb", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     keys = ["sb", "a", "b"]
-    spread = min(8 * rows * n_pairs, 64 * cores)
-    s, c = (t.repartition(spread, *keys) for t in (s, c))
+    s, c = (_spreading(rows * n_pairs, t, *keys) for t in (s, c))
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         _, a, b = (k.as_py() for k in key)
-        made: dict[str, list] = {n: [] for n in ("a", "b", "slab", "i", "j", "oki", "okj", "sums")}
-        if len(left) and len(right):
-            xyz = np.stack([left.column(n).to_numpy() for n in "xyz"], 1)
-            order = np.lexsort(xyz.T)
-            codes = left.column("obs_id").combine_chunks().take(pa.array(order)).dictionary_encode().indices.to_numpy()
-            order, codes = order[np.argsort(codes, kind="stable")], np.sort(codes)
-            xyz, own = xyz[order], right.column("own").to_numpy()
-            at, layers = np.stack([right.column(n).to_numpy() for n in "xyz"], 1), right.column("layer").to_numpy()
-            volume, has = right.column("volume").fill_null(0.0).to_numpy(), right.column("volume").is_valid().to_numpy()
-            sides = []
-            for block in dict.fromkeys((a, b)):
-                ids = np.unique(layers[own == block])
-                take = (own == block) & has
-                index = np.searchsorted(ids, layers[take])
-                sides.append((ids, np.isin(np.arange(len(ids)), index), layer_sums(at[take], volume[take], index, len(ids), kernel)))
-            total = np.zeros((len(sides[0][0]), len(sides[-1][0])))
-            ends = np.searchsorted(codes, np.arange(0, codes[-1] + 1 + PANEL, PANEL))
-            for first, (start, end) in zip(range(0, codes[-1] + 1, PANEL), zip(ends[:-1], ends[1:], strict=True), strict=True):
-                panels = []
-                for ids, _, of in sides:
-                    h = np.zeros((int(codes[end - 1]) + 1 - first, len(ids)))
-                    for k in range(start, end, PANEL):
-                        to = min(end, k + PANEL)
-                        part = of(xyz[k:to])
-                        if len(np.unique(codes[k:to])) == to - k:
-                            h[codes[k:to] - first] += part
-                        else:
-                            np.add.at(h, codes[k:to] - first, part)
-                    panels.append(h)
-                total += panels[0].T @ panels[-1]
-            (i, oki, _), (j, okj, _) = sides[0], sides[-1]
-            for k in range(0, len(i), SLAB):
-                start = k if a == b else 0
-                for n, value in zip(made, (a, b, k, i[k : k + SLAB].tobytes(), j[start:].tobytes(), oki[k : k + SLAB].tobytes(), okj[start:].tobytes(), total[k : k + SLAB, start:].tobytes()), strict=True):
-                    made[n].append(value)
-        kinds = [pa.int32()] * 3 + [pa.binary()] * 5
-        return pa.table([pa.array(v, t) for v, t in zip(made.values(), kinds, strict=True)], list(made))
+        if not len(left) or not len(right):
+            return _slabs(a, b, (np.empty(0), np.empty(0)), (np.empty(0), np.empty(0)), lambda here, start: np.empty(0))
+        own = right.column("own").to_numpy()
+        sides = [_side(right, own == block, kernel) for block in dict.fromkeys((a, b))]
+        total = np.zeros((len(sides[0][0]), len(sides[-1][0])))
+        for panels in _panels(left, sides):
+            total += panels[0].T @ panels[-1]
+        return _slabs(a, b, sides[0][:2], sides[-1][:2], lambda here, start: total[here, start:])
 
     def added(slabs: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), float) for x in slabs.column("sums"))
         return slabs.slice(0, 1).set_column(7, "sums", pa.array([total.tobytes()], pa.binary()))
 
+    met = s.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, _SUMS)
+    return met.groupBy("a", "b", "slab").applyInArrow(added, _SUMS) if rows > 1 else met
+
+
+def _told(slabs: DataFrame, noise: float) -> DataFrame:
+    """(i, j, lambda) of slabs, both orders of two layers."""
+
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
@@ -208,10 +266,67 @@ def information(stations: DataFrame, cells: DataFrame, kernel: Callable, layer:
                 for left, right, v, good in ((np.repeat(i, len(j)), np.tile(j, len(i)), total, ok), (np.tile(j[mirrored], len(i)), np.repeat(i, len(j[mirrored])), total[:, mirrored], ok[:, mirrored])):
                     yield pa.record_batch([left, right, pa.array(v.ravel(), mask=~good.ravel())], ["i", "j", "lambda"])
 
-    met = s.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, _SUMS)
-    if rows > 1:
-        met = met.groupBy("a", "b", "slab").applyInArrow(added, _SUMS)
-    return met.mapInArrow(told, "i long, j long, lambda double")
+    return slabs.mapInArrow(told, "i long, j long, lambda double")
+
+
+def _chosen(s: DataFrame, c: DataFrame, n_stations: int, blocks: int, kernel: Callable) -> DataFrame:
+    """Of each block of layers those chosen whose h make up all others', and the weights."""
+    s, rows = _dealt(s, n_stations, blocks)
+    s, c = (_spreading(rows * blocks, t, "sb", "a") for t in (s.withColumn("a", _every(blocks)), c.withColumn("sb", _every(rows))))
+
+    def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        made: list[list] = [[], [], [], []]
+        if len(left) and len(right):
+            side = _side(right, np.ones(len(right), bool), kernel)
+            rows: list[np.ndarray] | None = []
+            for (h,) in _panels(left, [side]):
+                h = h if len(h) < DRAWN else reduced(h)
+                rows = None if h is None else [*rows, h]
+                if rows and sum(map(len, rows)) > PANEL:
+                    rows = [reduced(np.concatenate(rows))]
+                if rows is None or rows[0] is None:
+                    rows = None
+                    break
+            value = (key[1].as_py(), side[0].tobytes(), side[1].tobytes(), None if rows is None else np.concatenate(rows).tobytes())
+            made = [[v] for v in value]
+        return pa.table([pa.array(v, t) for v, t in zip(made, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["a", "ids", "ok", "rows"])
+
+    def choose(found: pa.Table) -> pa.Table:
+        ids = np.frombuffer(found.column("ids")[0].as_buffer(), np.int64)
+        at, weights = np.arange(len(ids)), np.eye(len(ids))
+        if not found.column("rows").null_count:
+            rows = np.concatenate([np.frombuffer(x.as_buffer()).reshape(-1, len(ids)) for x in found.column("rows")])
+            rows = rows if 2 * len(rows) < len(ids) else reduced(rows)
+            if rows is not None and np.isfinite(rows).all():
+                at, weights = skeleton(rows)
+        return found.slice(0, 1).select(["a", "ids", "ok"]).append_column("chosen", pa.array([ids[at]], pa.list_(pa.int64()))).append_column("weights", pa.array([weights.tobytes()], pa.binary()))
+
+    met = s.groupBy("sb", "a").cogroup(c.groupBy("sb", "a")).applyInArrow(look, "a int, ids binary, ok binary, rows binary")
+    return met.groupBy("a").applyInArrow(choose, "a int, ids binary, ok binary, chosen array<long>, weights binary")
+
+
+def _spread(among: DataFrame, chosen: DataFrame, blocks: int) -> DataFrame:
+    """Slabs of the sums of all layers from those among the chosen."""
+    two = chosen.withColumn("other", _every(blocks)).withColumnRenamed("a", "own").withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other")
+    among, two = (_spreading(blocks * (blocks + 1) // 2, t, "a", "b") for t in (among, two))
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (k.as_py() for k in key)
+        sides = {}
+        for k in range(len(right)):
+            ids, ok, weights = (np.frombuffer(right.column(n)[k].as_buffer(), t) for n, t in (("ids", np.int64), ("ok", bool), ("weights", float)))
+            few = np.array(right.column("chosen")[k].as_py(), np.int64)
+            sides[right.column("own")[k].as_py()] = ids, ok, weights.reshape(len(few), len(ids)), np.argsort(few), np.sort(few)
+        if a not in sides or b not in sides:
+            return _slabs(a, b, (np.empty(0), np.empty(0)), (np.empty(0), np.empty(0)), lambda here, start: np.empty(0))
+        (*i, over_i, rank_i, few_i), (*j, over_j, rank_j, few_j) = sides[a], sides[b]
+        sums = np.zeros((len(few_i), len(few_j)))
+        at = [rank[np.searchsorted(few, left.column(n).to_numpy())] for n, rank, few in (("i", rank_i, few_i), ("j", rank_j, few_j))]
+        sums[tuple(at)] = left.column("lambda").to_numpy()
+        half = over_i.T @ sums
+        return _slabs(a, b, i, j, lambda here, start: half[here] @ over_j[:, start:])
+
+    return among.groupBy("a", "b").cogroup(two.groupBy("a", "b")).applyInArrow(meet, _SUMS)
 
 
 def depth_weights(cells: DataFrame, z0: float, nu: float = 3.0, eps: float | None = None) -> DataFrame:

@@ -94,3 +94,51 @@ def test_information_holds_small_matrices_and_sends_no_sums(spark, monkeypatch):
     h = np.stack([direct(potential.gravity, s, c[layer == k], 1e6, np.ones((layer == k).sum())) for k in range(1, 14)], 1)
     got = {(r.i, r.j): r["lambda"] for r in out.collect()}
     assert len(got) == 169 and all(np.isclose(v, h[:, i - 1] @ h[:, j - 1] / 0.01, rtol=1e-9) for (i, j), v in got.items())
+
+
+def test_information_of_many_layers_follows_from_that_of_few(spark, monkeypatch):
+    from isobath.sources import storage
+
+    for name, value in (("LAYERS", 150), ("PANEL", 128), ("SLAB", 16)):
+        monkeypatch.setattr(fields, name, value)
+    s = np.array([(200.0 * i, 200.0 * j, 50.0) for j in range(30) for i in range(10)])
+    c = np.array([(100.0 * i, 200.0 * j, -100.0 * (k + 1)) for k in range(400) for j in range(3) for i in range(4)])
+    layer = np.repeat(np.arange(400) * 7 - 20, 12)
+    stations = spark.createDataFrame([(k % 290, *map(float, x)) for k, x in enumerate(s)], "obs_id long, x double, y double, z double")
+    rows = [(*map(float, x), None if k == 1 else 1e6, int(k)) for x, k in zip(c, layer, strict=True)]
+    products, looked = [], fields._products
+    monkeypatch.setattr(fields, "_products", lambda s, c, *sizes: products.append(sizes[1]) or looked(s, c, *sizes))
+    rng = np.random.default_rng(1)
+    noisy = [(float(x), float(y), float(z), float(v), 0 if k < 300 else int(k)) for k, (x, y, z, v) in enumerate(np.c_[rng.normal(size=(700, 3)) * 2e3, rng.uniform(1e5, 1e6, 700)])]
+    for cells, most in ((rows, 150), (noisy, None)):
+        given = spark.createDataFrame(cells, "x double, y double, z double, volume double, k long")
+        out = fields.information(stations, given, potential.gravity, "k", 0.01, storage.Store(spark, "layers")).toPandas()
+        assert products.pop() <= (most or 401) and not products
+        x, v, k = (np.array([r[n] if r[n] is not None else np.nan for r in cells], float) for n in (slice(0, 3), 3, 4))
+        names = np.unique(k).astype(int)
+        d = [s[:, a, None] - x[None, :, a] for a in range(3)]
+        g = potential.gravity(d, potential.distance(d), v)
+        h = np.stack([g[:, k == n].sum(1) for n in names], 1)
+        h[:10] += h[290:]
+        want = h[:290].T @ h[:290] / 0.01
+        got = out.pivot(index="i", columns="j", values="lambda")
+        assert len(out) == len(names) ** 2 and (got.index == names).all() and (got.columns == names).all()
+        length = np.sqrt(np.diag(want))
+        assert (np.isnan(got.to_numpy()) == np.isnan(want)).all() and np.isnan(want).sum() == (799 if most else 0)
+        assert np.nanmax(np.abs(got.to_numpy() - want) / np.outer(length, length)) < 1e-12
+    assert fields.information(stations.limit(0), given, potential.gravity, "k", 0.01, storage.Store(spark, "layers")).collect() == []
+
+
+def test_skeleton_keeps_what_is_no_sum_of_others():
+    from isobath.operators import skeleton
+
+    rng = np.random.default_rng(2)
+    few = rng.normal(size=(200, 5)) * [1e-9, 1.0, 1e3, 1e6, 1e9]
+    m = np.c_[few, few @ rng.normal(size=(5, 90)), np.zeros(200)]
+    r = skeleton.reduced(m)
+    at, weights = skeleton.skeleton(r)
+    length = np.maximum(np.linalg.norm(m, axis=0), 1.0)
+    assert len(r) < 50 and len(at) == 5 and np.abs((m - m[:, at] @ weights) / length).max() < 1e-12
+    assert skeleton.reduced(rng.normal(size=(200, 96))) is None and skeleton.reduced(np.full((200, 96), np.inf)) is None
+    m[:, 7] += 1e-9 * length[7] * rng.normal(size=200)
+    assert len(skeleton.skeleton(skeleton.reduced(m))[0]) == 6
